@@ -2,7 +2,35 @@
 
 from __future__ import annotations
 
-from . import exact
+from . import exact, lines, mixing
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('20240:' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS sz, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+w AS (SELECT source, sz, 3 * sz AS cap, [5, 2, 1][i % 3 + 1]::DOUBLE AS wt, i, sum(sz) OVER () AS total FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / wt, i) AS k,
+             coalesce(sum(cap) OVER (ORDER BY cap / wt, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+             sum(wt) OVER (ORDER BY cap / wt, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+level AS (SELECT arg_min((total - before) / rest, k) AS level FROM o WHERE (total - before) / rest <= cap / wt),
+q AS (SELECT source, sz, least(cap, wt * coalesce(level, 0)) AS target FROM w, level),
+r AS (SELECT d.doc_id, d.size, q.sz::BIGINT AS source_size, q.target, floor(q.target + 0.5)::BIGINT AS quota,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id, d.size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target,
+       CASE WHEN source_size = 0 THEN 0 ELSE (quota // source_size) * size + greatest(0, least(size, quota % source_size - (upto - size))) END::BIGINT AS taken
+FROM r
+"""
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id < c.last AS gone FROM k LEFT JOIN c ON k.key = c.key AND length(k.key) >= 20)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
 
 OP7_SQL = r"""
 WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
@@ -11,5 +39,5 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
 FROM t
 """
 
-QUERIES = {"op7_exact_dedup": exact.op7_exact_dedup}
-SQL = {"op7_exact_dedup": OP7_SQL}
+QUERIES = {"op1_mixing": mixing.op1_mixing, "op2_line_dedup": lines.op2_line_dedup, "op7_exact_dedup": exact.op7_exact_dedup}
+SQL = {"op1_mixing": OP1_SQL, "op2_line_dedup": OP2_SQL, "op7_exact_dedup": OP7_SQL}
