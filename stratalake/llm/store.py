@@ -25,11 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+BATCH_ROWS = 512
+
+
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Send documents to Python in small Arrow batches: Spark's default of 10,000 whole texts may be a GB on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 class Scratch:
     """The intermediate tables of one operator call."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
