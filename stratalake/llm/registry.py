@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, lines, mixing
+from . import exact, lines, mixing, packing, quality, tiff
 
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('20240:' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
@@ -39,5 +39,12 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*)
 FROM t
 """
 
-QUERIES = {"op1_mixing": mixing.op1_mixing, "op2_line_dedup": lines.op2_line_dedup, "op7_exact_dedup": exact.op7_exact_dedup}
+QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op2_line_dedup": lines.op2_line_dedup,
+    "op4_quality": quality.op4_quality,
+    "op6_media": tiff.op6_media,
+    "op7_exact_dedup": exact.op7_exact_dedup,
+    "op9_packing": packing.op9_packing,
+}
 SQL = {"op1_mixing": OP1_SQL, "op2_line_dedup": OP2_SQL, "op7_exact_dedup": OP7_SQL}

@@ -1,37 +1,77 @@
-"""Token ids of a public tokenizer, word by word with a bounded cache.
+"""Token ids of a public tokenizer, word by word with bounded caches.
 
 The pre-tokenizer of ``word_bpe_49k.json`` never joins characters across white space, and its normaliser turns white space
-into blanks; so the ids of a text are those of its space-separated words in order.  Most words repeat, which makes a
-table of ids much cheaper than merging again.  Words that aren't in it are encoded in one call for each document.
+into blanks and lower-cases; so the ids of a text are those of its space-separated words in order, and a word that ends
+in a letter followed by ASCII punctuation is two pre-tokens.  Most words repeat, all the more without case and
+punctuation, which makes tables of ids much cheaper than merging again.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from itertools import chain
 
-CACHE_WORDS = 150_000
+CACHE_WORDS = 400_000
+CACHE_CORES = 400_000
+#: A core that ends in an ASCII letter, digit or Latin-1 letter, then one run of punctuation.  Other words are looked up whole.
+_MARKS = b".,!?*#$%&;:|"
+_CORE_END = re.compile(rb"(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])\Z")
+#: Words of lower-case ASCII and Latin-1 letters are one pre-token as they are; the model takes them without the other steps.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def _byte_symbols() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 bytes are themselves, the others the code points from 256 on in order."""
+    own = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in own else chr(next(rest)) for b in range(256)}
 
 
 class WordTokenizer:
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_cores: int = CACHE_CORES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self._encode = Tokenizer.from_file(path).encode_batch
-        self._ids: dict[bytes, tuple[int, ...]] = {}
-        self._most = cache_words
+        self._tokenizer = Tokenizer.from_file(path)
+        self._encode, self._model = self._tokenizer.encode_batch, self._tokenizer.model.tokenize
+        self._symbols = _byte_symbols()
+        self._words: dict[bytes, tuple[int, ...]] = {}
+        self._cores: dict[bytes, tuple[int, ...]] = {}
+        self._most_words, self._most_cores = cache_words, cache_cores
+
+    def _learn(self, words: list[bytes]) -> None:
+        cores, parts = self._cores, []
+        for w in words:
+            low = w.lower()
+            core = low.rstrip(_MARKS)
+            if core == low or b"<|" in w or b"|>" in w or not _CORE_END.search(core):
+                # whole: no marks at its end, or maybe a special token, which is cut out before anything else
+                parts.append((w if b"<|" in w or b"|>" in w else low, b""))
+            else:
+                parts.append((core, low[len(core) :]))
+        if len(cores) + 2 * len(words) > self._most_cores:
+            cores.clear()
+        new = list({p for pair in parts for p in pair if p and p not in cores})
+        if new:
+            model, symbols = self._model, self._symbols
+            plain = [x for x in new if _LETTERS.fullmatch(x)]
+            cores.update((x, tuple([t.id for t in model(x.decode() if x.isascii() else x.decode("latin-1").translate(symbols))])) for x in plain)
+            new = [x for x in new if x not in cores]
+            cores.update(zip(new, (tuple(e.ids) for e in self._encode([x.decode("utf-8", "replace") for x in new], add_special_tokens=False))))
+        known = self._words
+        for w, (a, b) in zip(words, parts):
+            known[w] = cores[a] + cores[b] if b else cores[a]
 
     def ids(self, text: bytes) -> array:
         """The ids of UTF-8 ``text``, without special tokens added."""
         words = text.split()  # bytes.split() cuts at [\x20\x09-\x0D] only
-        known = self._ids
-        new = [w for w in set(words) if w not in known]
+        known = self._words
+        new = list(set(words).difference(known))
         if new:
-            if len(known) + len(new) > self._most:
+            if len(known) + len(new) > self._most_words:
                 known.clear()
                 new = list(set(words))
-            found = self._encode([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            known.update(zip(new, (tuple(e.ids) for e in found)))
+            self._learn(new)
         return array("I", chain.from_iterable(map(known.__getitem__, words)))
