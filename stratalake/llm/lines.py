@@ -6,8 +6,8 @@
    a line that a third of the corpus holds is one row for each task.
 3. Only hashes over the threshold go on.  The few very frequent ones (at least 1/HEAVY of all rows, so at most HEAVY of
    them, whatever the input) are broadcast to the second explode; the rest is an ordinary join on the hash.
-4. The lines to drop meet the lines by (doc_id, position) and the rest is put together by position.  This is the only step
-   that moves text, once.
+4. The positions to drop are gathered for each document and meet its text; the other lines are put together by position.
+   This is the only step that moves text, once.
 """
 
 from __future__ import annotations
@@ -42,13 +42,14 @@ def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", min_char
     spark = docs.sparkSession
     work = Scratch(spark, "lines")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), body.alias("t"))
-    lines = rows.select("doc_id", F.xxhash64("t").alias("row"), F.posexplode(F.split("t", "\n", -1)).alias("pos", "line"))
-    # the shortest key has as many code points as the limit, so shorter lines needn't be stripped or hashed
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), body.alias("t"), F.xxhash64(body).alias("row"))
+    lines = rows.select("doc_id", "row", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line"))
+    # a line shorter than the limit has a shorter key, so it needn't be stripped or hashed
     keyed = (
         lines.filter(F.length("line") >= min_chars).withColumn("key", line_key(F.col("line"))).filter(F.length("key") >= min_chars)
         .select("doc_id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(29), "key").alias("h2"))
     )
+    keyed = work.keep(keyed, "keys")
     by_doc = keyed.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("n"))
     common = by_doc.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"), F.sum("n").alias("n")).filter(F.col("docs") >= min_docs)
     common = work.keep(common, "common")
@@ -56,26 +57,19 @@ def line_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", min_char
     least = max(1, total // HEAVY)
     heavy, light = common.filter(F.col("n") > least), common.filter(F.col("n") <= least)
     ends = ["h1", "h2"]
-    marked = keyed.join(F.broadcast(heavy.select(*ends, F.col("last").alias("heavy_last"), F.lit(True).alias("is_heavy"))), ends, "left")
-    before = lambda last: F.coalesce(F.col("doc_id") < F.col(last), F.col("doc_id").isNull() & F.col(last).isNotNull())
-    drops = marked.filter(F.col("is_heavy") & before("heavy_last")).select("doc_id", "row", "pos").unionByName(
-        marked.filter("is_heavy is null").join(light.select(*ends, "last"), ends).filter(before("last")).select("doc_id", "row", "pos")
+    earlier = F.coalesce(F.col("doc_id") < F.col("last"), F.col("doc_id").isNull() & F.col("last").isNotNull())
+    at_once = keyed.join(F.broadcast(heavy.select(*ends, "last")), ends)
+    shuffled = keyed.join(F.broadcast(heavy.select(*ends)), ends, "left_anti").join(light.select(*ends, "last"), ends)
+    drops = at_once.unionByName(shuffled).filter(earlier).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("drops"))
+    joined = rows.alias("a").join(drops.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.row") == F.col("b.row")), "left")
+    joined = joined.select("a.doc_id", "t", "drops", F.explode(F.array(F.split("t", "\n", -1))).alias("lines"))  # a row each: splits once
+    # array_except hashes, so the positions that stay cost one pass
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n")
+    return joined.select(
+        "doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.when(F.col("drops").isNotNull(), F.size("drops")), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("drops").isNull(), F.col("t")).otherwise(kept).alias("kept_text"),
     )
-    drops = drops.distinct().withColumn("dropped", F.lit(True))
-    # nulls have to meet, and both sides are dealt out by the row alone, which the last aggregation uses again
-    a = lines.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
-    b = drops.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
-    whole = a.join(b, ["doc_id", "no_id", "row", "pos"], "left")
-    kept = F.when(F.col("dropped").isNull(), F.struct("pos", "line"))
-    out = whole.groupBy("doc_id", "no_id", "row").agg(
-        F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("copies"), F.count("*").alias("n"), F.count("dropped").alias("d"), F.sort_array(F.collect_list(kept)).alias("kept")
-    )
-    distinct = F.when(F.col("copies") > 1, F.array_distinct("kept")).otherwise(F.col("kept"))
-    out = out.select(
-        F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), (F.col("n") / F.col("copies")).cast("long").alias("n_lines"), (F.col("d") / F.col("copies")).cast("long").alias("n_dropped"),
-        F.array_join(F.transform(distinct, lambda x: x["line"]), "\n").alias("kept_text"), "copies",
-    )
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, lines, mixing, packing, quality, tiff
+from . import exact, lines, mixing, packing, quality, tiff, toxicity
 
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('20240:' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
@@ -46,5 +46,6 @@ QUERIES = {
     "op6_media": tiff.op6_media,
     "op7_exact_dedup": exact.op7_exact_dedup,
     "op9_packing": packing.op9_packing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {"op1_mixing": OP1_SQL, "op2_line_dedup": OP2_SQL, "op7_exact_dedup": OP7_SQL}
