@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, lines, mixing, packing, quality, tiff, toxicity
+from . import exact, lines, mixing, packing, quality, substring, tiff, toxicity
 
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('20240:' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
@@ -32,6 +32,18 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d),
+k AS (SELECT doc_id, pos, word, CASE WHEN count(*) OVER f = 13 THEN md5(string_agg(word, ' ') OVER f) END AS key
+      FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+m AS (SELECT key, min(doc_id) AS first FROM k WHERE key IS NOT NULL GROUP BY key),
+h AS (SELECT k.*, coalesce(m.first < k.doc_id, false) AS hit FROM k LEFT JOIN m ON k.key = m.key),
+c AS (SELECT *, max(hit::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) = 1 AS gone FROM h)
+SELECT d.doc_id, count(word) AS n_words, count(word) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id GROUP BY d.doc_id
+"""
+
 OP7_SQL = r"""
 WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
@@ -42,10 +54,11 @@ FROM t
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_line_dedup": lines.op2_line_dedup,
+    "op3_substring_dedup": substring.op3_substring_dedup,
     "op4_quality": quality.op4_quality,
     "op6_media": tiff.op6_media,
     "op7_exact_dedup": exact.op7_exact_dedup,
     "op9_packing": packing.op9_packing,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-SQL = {"op1_mixing": OP1_SQL, "op2_line_dedup": OP2_SQL, "op7_exact_dedup": OP7_SQL}
+SQL = {"op1_mixing": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op7_exact_dedup": OP7_SQL}

@@ -54,6 +54,10 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def exists(self, path: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
     def drop(self, path: str) -> None:
         """Delete one of the written tables."""
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
