@@ -38,20 +38,18 @@ def digests(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFram
 
 
 class MisraGries:
-    """Counts within n/k of the truth in ``k`` counters; decrements are batched."""
+    """Counts within n/(k+1) of the truth in ``k`` counters; whole batches are merged at a time (mergeable summaries)."""
 
     def __init__(self, k: int):
         self.k, self.count = k, {}
 
-    def add(self, key, n: int = 1) -> None:
+    def add(self, keys: list, counts: list[int]) -> None:
         c = self.count
-        if key in c or len(c) < self.k:
-            c[key] = c.get(key, 0) + n
-            return
-        low = min(n, min(c.values()))
-        self.count = {x: v - low for x, v in c.items() if v > low}
-        if n > low:
-            self.add(key, n - low)
+        for x, n in zip(keys, counts):
+            c[x] = c.get(x, 0) + n
+        if len(c) > self.k:
+            cut = sorted(c.values(), reverse=True)[self.k]
+            self.count = {x: n - cut for x, n in c.items() if n > cut}
 
 
 def frequent(rows: DataFrame, key: str, k: int = COUNTERS) -> DataFrame:
@@ -62,9 +60,8 @@ def frequent(rows: DataFrame, key: str, k: int = COUNTERS) -> DataFrame:
         seen, n = MisraGries(k), 0
         for batch in batches:
             n += batch.num_rows
-            for x in batch.column(0).value_counts().to_pylist():
-                if x["values"] is not None:
-                    seen.add(x["values"], x["counts"])
+            counts = batch.column(0).drop_null().value_counts()
+            seen.add(counts.field("values").to_pylist(), counts.field("counts").to_pylist())
         keys = list(seen.count)
         like = pa.binary() if isinstance(kind, T.BinaryType) else pa.int64() if isinstance(kind, T.LongType) else pa.string()
         yield pa.RecordBatch.from_arrays([pa.array([None, *keys], like), pa.array([n, *seen.count.values()], pa.int64())], ["k", "n"])
@@ -88,6 +85,17 @@ def decide(rows: DataFrame, key: str = "digest", pick: Callable = F.max, k: int
     return at_once.unionByName(rest.join(sums, key))
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
+    """``rows`` left-joined to ``table``, which has one row for each key, where keys in ``heavy`` have many rows.
+
+    The part of the table with heavy keys is broadcast: it has at most as many rows as ``heavy``.
+    """
+    hot = F.broadcast(heavy.select(key))
+    return rows.join(hot, key, "left_semi").join(F.broadcast(table.join(hot, key, "left_semi")), key, "left").unionByName(
+        rows.join(hot, key, "left_anti").join(table, key, "left")
+    )
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", k: int = COUNTERS) -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256.
 
