@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import kernels as K
 from .store import Scratch
-from .tokens import WordTokenizer
+from .tokens import tokenizer as open_tokenizer
 
 LENGTH = 2048
 GROUP_PIECES = 4096
@@ -81,14 +81,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", id: str =
     """(doc_id, row, piece, start, length, ids_crc32): each text's ids and the end id, longer ones cut into full pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer)
+        words, last = open_tokenizer(tokenizer), end.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
             for d, r, t in zip(K.column(batch, "doc_id").to_pylist(), K.column(batch, "row").to_pylist(), K.column(batch, "text").cast(pa.large_binary()).to_pylist()):
-                ids = words.ids(t or b"")
-                ids.append(end)
-                raw = np.frombuffer(ids, np.uint32).astype("<u4").tobytes()
-                for p, at in enumerate(range(0, len(ids), length)):
+                raw = words.ids(t or b"") + last
+                for p, at in enumerate(range(0, len(raw) // 4, length)):
                     part = raw[4 * at : 4 * (at + length)]
                     out.append((d, r, p, at, len(part) // 4, zlib.crc32(part)))
             cols = list(zip(*out)) or [[]] * 6

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from array import array
-from itertools import chain
 
-CACHE_WORDS = 400_000
-CACHE_CORES = 400_000
+CACHE_WORDS = 500_000
+CACHE_CORES = 800_000
 #: A core that ends in an ASCII letter, digit or Latin-1 letter, then one run of punctuation.  Other words are looked up whole.
 _MARKS = b".,!?*#$%&;:|"
 _CORE_END = re.compile(rb"(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])\Z")
@@ -29,6 +29,13 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b) if b in own else chr(next(rest)) for b in range(256)}
 
 
+def _raw(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordTokenizer:
     def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_cores: int = CACHE_CORES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -37,8 +44,8 @@ class WordTokenizer:
         self._tokenizer = Tokenizer.from_file(path)
         self._encode, self._model = self._tokenizer.encode_batch, self._tokenizer.model.tokenize
         self._symbols = _byte_symbols()
-        self._words: dict[bytes, tuple[int, ...]] = {}
-        self._cores: dict[bytes, tuple[int, ...]] = {}
+        self._words: dict[bytes, bytes] = {}
+        self._cores: dict[bytes, bytes] = {}
         self._most_words, self._most_cores = cache_words, cache_cores
 
     def _learn(self, words: list[bytes]) -> None:
@@ -57,15 +64,15 @@ class WordTokenizer:
         if new:
             model, symbols = self._model, self._symbols
             plain = [x for x in new if _LETTERS.fullmatch(x)]
-            cores.update((x, tuple([t.id for t in model(x.decode() if x.isascii() else x.decode("latin-1").translate(symbols))])) for x in plain)
+            cores.update((x, _raw([t.id for t in model(x.decode() if x.isascii() else x.decode("latin-1").translate(symbols))])) for x in plain)
             new = [x for x in new if x not in cores]
-            cores.update(zip(new, (tuple(e.ids) for e in self._encode([x.decode("utf-8", "replace") for x in new], add_special_tokens=False))))
+            cores.update(zip(new, (_raw(e.ids) for e in self._encode([x.decode("utf-8", "replace") for x in new], add_special_tokens=False))))
         known = self._words
         for w, (a, b) in zip(words, parts):
             known[w] = cores[a] + cores[b] if b else cores[a]
 
-    def ids(self, text: bytes) -> array:
-        """The ids of UTF-8 ``text``, without special tokens added."""
+    def ids(self, text: bytes) -> bytes:
+        """The ids of UTF-8 ``text`` as little-endian 32-bit numbers, without special tokens added."""
         words = text.split()  # bytes.split() cuts at [\x20\x09-\x0D] only
         known = self._words
         new = list(set(words).difference(known))
@@ -74,4 +81,14 @@ class WordTokenizer:
                 known.clear()
                 new = list(set(words))
             self._learn(new)
-        return array("I", chain.from_iterable(map(known.__getitem__, words)))
+        return b"".join(map(known.__getitem__, words))
+
+
+_OPEN: dict[str, WordTokenizer] = {}
+
+
+def tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process: the tasks that it runs one after another share its tables."""
+    if path not in _OPEN:
+        _OPEN[path] = WordTokenizer(path)
+    return _OPEN[path]
