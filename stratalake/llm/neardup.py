@@ -7,7 +7,7 @@
 3. Representatives are banded: 32 bands of four registers.  Each member of a bucket is paired with the bucket's leader (the
    smallest id), never with all others.
 4. Pairs are verified on full sets, unless the collision-corrected estimate of the sketches is over six standard
-   deviations too low.  Sets are read once more from the texts of documents that share a bucket with another.
+   deviations too low.  Sets are made anew from the texts of the documents of such pairs only.
 5. Links give components.  Buckets that still hold several components go on: their next 32, 64, 128, ... members become
    leaders for the members of other components, until all have been, so no candidate pair is left out.
 
@@ -33,6 +33,7 @@ REGISTERS = 1 << BUCKET_BITS
 BANDS, ROWS = 32, 4
 SALTS = 32
 LEADERS = 32
+BROADCAST_IDS = 200_000  # 1.6 MB of ids; more of them are joined by a shuffle
 _ROLL = K.Rolling(83, fold_case=True)
 _ORDER = np.uint64(0xA0761D6478BD642F)
 
@@ -154,33 +155,52 @@ def bands(reps: DataFrame) -> DataFrame:
     return reps.mapInArrow(run, "key long, doc_id long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets are similar enough.  ``sets``: node, set, registers.
+def _sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs`` (a, b) with the columns of ``table`` (node, ...) for either side, named x_... and y_...
 
-    Many pairs may share their leader ``a``: its set goes once to each of at most SALTS parts of its pairs.
+    Many pairs may share their leader ``a``: its row goes once to each of at most SALTS parts of its pairs.
     """
+    side = lambda end, p: table.select(F.col("node").alias(end), *(F.col(c).alias(f"{p}_{c}") for c in columns))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    left = salted.select("a", "salt").distinct().join(side("a", "x"), "a")
+    return salted.join(side("b", "y"), "b").join(left, ["a", "salt"]).drop("salt")
+
+
+def plausible(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
+    """The (a, b) whose sizes allow the similarity and whose estimate isn't over six standard deviations too low."""
 
     @F.pandas_udf("boolean")
-    def similar(x, y, rx, ry):
+    def near(n, m, rx, ry):
         import pandas as pd
 
-        n, m = x.str.len().to_numpy() // 8, y.str.len().to_numpy() // 8
+        n, m = n.to_numpy(), m.to_numpy()
         ok = 100 * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m)
-        if len(x):
+        if len(n):
             a, b = (np.frombuffer(b"".join(r), "<u2").reshape(-1, REGISTERS) for r in (rx, ry))
-            either = np.maximum(1, ((a > 0) | (b > 0)).sum(1))
-            limit = NUMERATOR / 100 - 6 * np.sqrt(0.1875 / either)  # 0.1875: the variance at the threshold
+            either = ((a > 0) | (b > 0)).sum(1)
+            limit = NUMERATOR / 100 - 6 * np.sqrt(0.1875 / np.maximum(1, either))  # 0.1875: the variance at the threshold
             ok &= (estimate(a, b, n, m) >= limit) | (either < 30)
-        for i in np.flatnonzero(ok):
-            u, v = np.frombuffer(x.iat[i], "<u8"), np.frombuffer(y.iat[i], "<u8")
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            ok[i] = 100 * both >= NUMERATOR * (len(u) + len(v) - both)
         return pd.Series(ok)
 
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    left = salted.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), F.col("set").alias("x"), F.col("registers").alias("rx")), "a")
-    right = salted.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y"), F.col("registers").alias("ry")), "b")
-    return right.join(left, ["a", "salt"]).filter(similar("x", "y", "rx", "ry")).select("a", "b")
+    both = _sides(pairs, sketch, ["n_shingles", "registers"])
+    return both.filter(near("x_n_shingles", "y_n_shingles", "x_registers", "y_registers")).select("a", "b")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose full sets (node, set) are similar enough."""
+
+    @F.pandas_udf("boolean")
+    def similar(x, y):
+        import pandas as pd
+
+        out = np.zeros(len(x), bool)
+        for i, (u, v) in enumerate(zip(x, y)):
+            u, v = np.frombuffer(u, "<u8"), np.frombuffer(v, "<u8")
+            both = len(np.intersect1d(u, v, assume_unique=True))
+            out[i] = 100 * both >= NUMERATOR * (len(u) + len(v) - both)
+        return pd.Series(out)
+
+    return _sides(pairs, sets, ["set"]).filter(similar("x_set", "y_set")).select("a", "b")
 
 
 def components(links: DataFrame, work: Scratch) -> DataFrame:
@@ -212,21 +232,27 @@ def link(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     rows = sketch.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "digest")
     heavy = work.keep(frequent(rows, "digest"), "heavy")
     classes = work.keep(rows.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sketch.filter("doc_id is not null").join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"]).groupBy("doc_id", "digest").agg(F.first("registers").alias("registers"))
-    reps = work.keep(reps, "reps")
-
-    banded = work.keep(bands(reps.select("doc_id", "registers")).distinct(), "bands")
-    led = decide(banded, "key", F.min).filter("group_size > 1").select("key", "doc_id", "keep_id")
-    led = work.keep(led, "buckets")  # only buckets of several members
-    involved = work.keep(led.select("doc_id").distinct(), "involved")
-    sets = set_table(_picked(docs, text, id).join(involved, "doc_id", "left_semi"))
-    # of the many rows of a class only its representative is needed
-    sets = sets.join(reps.select(F.col("doc_id").alias("node"), "registers"), "node").dropDuplicates(["node", "set"])
-    sets = work.keep(sets, "sets")
-    work.release()
+    reps = sketch.filter("doc_id is not null").join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    reps = work.keep(reps.select(F.col("doc_id").alias("node"), "n_shingles", "registers"), "reps")
+
+    texts = _picked(docs, text, id)
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """Links among candidate pairs."""
+        likely = work.keep(plausible(pairs, reps), "likely")
+        nodes = work.keep(likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
+        few = nodes.count() <= BROADCAST_IDS
+        own = texts.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
+        sets = work.keep(set_table(own).dropDuplicates(["node", "set"]), "sets")
+        out = work.keep(verified(likely, sets), "links")
+        work.release()
+        return out
 
-    pairs = led.filter("doc_id <> keep_id").select(F.col("keep_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = work.keep(verified(pairs, sets), "links")
+    banded = work.keep(bands(reps.select(F.col("node").alias("doc_id"), "registers")), "bands")
+    led = work.keep(decide(banded, "key", F.min).filter("group_size > 1").select("key", "doc_id", "keep_id"), "buckets")  # only buckets of several members
+    work.release()
+    pairs = work.keep(led.filter("doc_id <> keep_id").select(F.col("keep_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    links = confirm(pairs)
     labels = components(links, work)
     done, chunk = 1, LEADERS
     members = led.select("key", "doc_id")
@@ -242,9 +268,9 @@ def link(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
         open_ = named.join(F.broadcast(hot.select("key")), "key", "left_semi").unionByName(named.join(F.broadcast(hot.select("key")), "key", "left_anti").join(several.select("key"), "key", "left_semi"))
         members = work.keep(open_.select("key", "doc_id"), "open")
         place = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")
-        leaders = open_.withColumn("at", F.row_number().over(place)).filter((F.col("at") > done - 1) & (F.col("at") <= done - 1 + chunk)).select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"))
+        leaders = open_.withColumn("at", F.row_number().over(place)).filter((F.col("at") >= done) & (F.col("at") < done + chunk)).select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"))
         tries = open_.join(leaders, "key").filter("label <> la").select(F.greatest("a", "doc_id").alias("b"), F.least("a", "doc_id").alias("a")).distinct()
-        more = work.keep(verified(tries, sets), "links")
+        more = confirm(work.keep(tries, "pairs"))
         if more.limit(1).count():
             links = work.keep(links.unionByName(more), "links")
             labels = components(links, work)
