@@ -111,10 +111,11 @@ def k8_daily_merchant_spend(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(features.daily_spend(txns(spark, sf), brands(spark, sf)), 4)
 
 
-@query(f"WITH {PRICE} SELECT ticker, trade_date::VARCHAR AS trade_date, {rsql(('close', 'ret_1d', *PRICE_COLS))} FROM px")
+@query(f"WITH {PRICE} SELECT ticker, trade_date::VARCHAR AS trade_date, round(close, 9) AS close, {rsql(('ret_1d', *PRICE_COLS))} FROM px")
 def k9_stock_features(spark: SparkSession, sf: str) -> DataFrame:
     """W4-W8, P8, P9."""
-    return rounded(features.price_features(bars(spark, sf)))
+    out = features.price_features(bars(spark, sf))
+    return out.select("ticker", F.col("trade_date").cast("string").alias("trade_date"), r("close", 9).alias("close"), *(r(c).alias(c) for c in ("ret_1d", *PRICE_COLS)))
 
 
 @query(
