@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact, lines, mixing, neardup, packing, quality, substring, tiff, toxicity
+from . import exact, lines, mixing, neardup, packing, quality, substring, suffix, tiff, toxicity
 
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('20240:' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents),
@@ -56,6 +56,7 @@ QUERIES = {
     "op2_line_dedup": lines.op2_line_dedup,
     "op3_substring_dedup": substring.op3_substring_dedup,
     "op4_quality": quality.op4_quality,
+    "op5_suffix_dedup": suffix.op5_suffix_dedup,
     "op6_media": tiff.op6_media,
     "op7_exact_dedup": exact.op7_exact_dedup,
     "op8_near_dup": neardup.op8_near_dup,
