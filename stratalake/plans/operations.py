@@ -28,6 +28,11 @@ def as_frame(lake: Lakehouse, results: list[MonitorResult]) -> DataFrame:
     return lake.spark.createDataFrame([tuple(r[f.name] for f in schema) for r in rows], schema)
 
 
+def _written(lake: Lakehouse, table: str) -> bool:
+    """A table that was only defined has nothing to check yet."""
+    return lake.table_exists(table) and bool(lake.snapshots(table))
+
+
 def run_monitors(lake: Lakehouse, as_of: date, feeds: tuple[Feed, ...] | None = None) -> list[MonitorResult]:
     """Every declared monitor and every column type; a monitor that fails is a breach, a missing table is skipped."""
     feeds = load_feeds() if feeds is None else feeds
@@ -35,7 +40,7 @@ def run_monitors(lake: Lakehouse, as_of: date, feeds: tuple[Feed, ...] | None =
     out = []
     for feed in feeds:
         for m in feed.monitors:
-            if not all(lake.table_exists(t) for t in (m.table, *dict(m.tables).values())):
+            if not all(_written(lake, t) for t in (m.table, *dict(m.tables).values())):
                 continue
             history = monitors.baselines(log, m.name) if log is not None else []
             mid = sorted(history)[len(history) // 2] if len(history) % 2 else sum(sorted(history)[len(history) // 2 - 1 : len(history) // 2 + 1]) / 2 if history else None
@@ -50,7 +55,7 @@ def run_monitors(lake: Lakehouse, as_of: date, feeds: tuple[Feed, ...] | None =
                 metric, status, detail = None, "breach", f"monitor failed: {str(e).splitlines()[0][:300]}"
             out.append(MonitorResult(m.name, m.table, m.column, m.kind, metric, mid, status, detail, as_of))
         for layer in feed.layers:
-            if layer.typed and lake.table_exists(layer.table):
+            if layer.typed and _written(lake, layer.table):
                 out += monitors.check_types(lake.live_schema(layer.table), load_contract(layer.contract), as_of)
     return out
 
@@ -60,7 +65,7 @@ def check_arrivals(lake: Lakehouse, as_of: date, feeds: tuple[Feed, ...] | None
     for feed in load_feeds() if feeds is None else feeds:
         for a in feed.arrivals:
             there = lake.table_exists(a.table)
-            if there or not skip_missing:
+            if not skip_missing or _written(lake, a.table):
                 out += arrival.check_arrival(lake.scan(a.table) if there else None, a.table, a.column, a.calendar, a.max_lag_days, a.min_rows, as_of)
     return out
 
