@@ -1,17 +1,18 @@
 """Near-duplicate documents by HyperMinHash sketches, banding and exact verification.
 
-1. Every text becomes a set of 64-bit hashes of its five-word shingles, and a sketch of 128 registers: the smallest hash of
+1. Every text becomes a set of 64-bit hashes of its five-word shingles, and a sketch of 359 registers: the smallest hash of
    each bucket as its count of leading zeros and ten bits of mantissa, 16 bits in all.
 2. Equal sets are one class with one representative; the heavy ones are found by Misra-Gries (see ``exact``).  A group of
    equal copies costs no pair at all.
-3. Representatives are banded: 32 bands of four registers.  Each member of a bucket is paired with the bucket's leader (the
-   smallest id), never with all others.
+3. Representatives are banded: 59 bands of six registers.  Each member of a bucket is paired with the bucket's leader (the
+   smallest id), never with all others, and first only with the leader that it meets most often.
 4. Pairs are verified on full sets, unless the collision-corrected estimate of the sketches is over six standard
    deviations too low.  Sets are made anew from the texts of the documents of such pairs only.
 5. Links give components.  Buckets that still hold several components go on: their next 32, 64, 128, ... members become
    leaders for the members of other components, until all have been, so no candidate pair is left out.
 
-Two sets at the threshold share none of the bands with a probability of (1 - 0.75^4)^32, about 5 in a million.
+Two sets at the threshold share none of the bands with a probability of (1 - 0.75^6)^59, about 1 in
+100,000.
 """
 
 from __future__ import annotations
@@ -23,16 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import kernels as K
-from .exact import decide, frequent, lookup
+from .exact import frequent, lookup
 from .store import Scratch, bound_batches
 
 SHINGLE = 5
 NUMERATOR = 75  # of 100
-BUCKET_BITS, MANTISSA = 7, 10
-REGISTERS = 1 << BUCKET_BITS
-BANDS, ROWS = 32, 4
+REGISTERS, MANTISSA = 359, 10  # a prime number of registers: every stride visits all of them
+BANDS, ROWS = 59, 6
 SALTS = 32
 LEADERS = 32
+HEAVY = 1000
 BROADCAST_IDS = 200_000  # 1.6 MB of ids; more of them are joined by a shuffle
 _ROLL = K.Rolling(83, fold_case=True)
 _ORDER = np.uint64(0xA0761D6478BD642F)
@@ -63,47 +64,62 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tup
     return own, np.searchsorted(doc, np.arange(docs + 1))
 
 
+_STRIDE = 1 + (K.mix(np.arange(REGISTERS, dtype=np.uint64) + np.uint64(977)) % np.uint64(REGISTERS - 1)).astype(np.int64)
+
+
 def sketches(own: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Documents x REGISTERS of 16 bits: 0 for an empty bucket, else (1 + leading zeros) << MANTISSA | mantissa."""
+    """Documents x REGISTERS of 16 bits: (1 + leading zeros) << MANTISSA | mantissa of the bucket's smallest hash.
+
+    An empty bucket takes the value of the first full one that its own stride meets (densification), so that bands of a
+    small set are no weaker evidence than those of a large one.  Sets without elements are all 0.
+    """
     docs = len(bounds) - 1
     out = np.zeros(docs * REGISTERS, np.uint16)
-    if len(own):
-        doc = np.repeat(np.arange(docs), np.diff(bounds))
-        slot = doc * REGISTERS + (own & np.uint64(REGISTERS - 1)).astype(np.int64)
-        g = K.mix(own * _ORDER)
-        by = np.argsort(slot, kind="stable")
-        slot, g = slot[by], g[by]
-        first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-        least = np.minimum.reduceat(g, first)
-        top = np.zeros(len(least), np.int64)  # place of the highest bit
-        rest = least.copy()
-        for s in (32, 16, 8, 4, 2, 1):
-            big = rest >= np.uint64(1 << s)
-            top[big] += s
-            rest[big] >>= np.uint64(s)
-        zeros = np.minimum(63 - top, 61)
-        body = np.where(top >= MANTISSA, least >> np.maximum(top - MANTISSA, 0).astype(np.uint64), least << np.maximum(MANTISSA - top, 0).astype(np.uint64)) & np.uint64((1 << MANTISSA) - 1)
-        out[slot[first]] = ((zeros + 1) << MANTISSA) | body.astype(np.int64)
-    return out.reshape(docs, REGISTERS)
+    if not len(own):
+        return out.reshape(docs, REGISTERS)
+    doc = np.repeat(np.arange(docs), np.diff(bounds))
+    slot = doc * REGISTERS + (((own >> np.uint64(32)) * np.uint64(REGISTERS)) >> np.uint64(32)).astype(np.int64)
+    g = K.mix(own * _ORDER)
+    by = np.argsort(slot, kind="stable")
+    slot, g = slot[by], g[by]
+    first = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+    least = np.minimum.reduceat(g, first)
+    top = np.zeros(len(least), np.int64)  # place of the highest bit
+    rest = least.copy()
+    for s in (32, 16, 8, 4, 2, 1):
+        big = rest >= np.uint64(1 << s)
+        top[big] += s
+        rest[big] >>= np.uint64(s)
+    zeros = np.minimum(63 - top, 61)
+    body = np.where(top >= MANTISSA, least >> np.maximum(top - MANTISSA, 0).astype(np.uint64), least << np.maximum(MANTISSA - top, 0).astype(np.uint64)) & np.uint64((1 << MANTISSA) - 1)
+    out[slot[first]] = ((zeros + 1) << MANTISSA) | body.astype(np.int64)
+    out = out.reshape(docs, REGISTERS)
+    d, i = np.nonzero((out == 0) & (np.diff(bounds) > 0)[:, None])
+    source, at = out.copy(), i
+    while len(d):
+        at = (at + _STRIDE[i]) % REGISTERS
+        found = source[d, at]
+        out[d, i] = found
+        empty = found == 0
+        d, i, at = d[empty], i[empty], at[empty]
+    return out
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Jaccard similarity of sketches (rows), less the matches to expect by chance of the shortened registers."""
-    either = ((a > 0) | (b > 0)).sum(1)
     same = ((a == b) & (a > 0)).sum(1)
     ratio = np.maximum(n, m) / np.maximum(1, np.minimum(n, m))
-    chance = 0.169919487159739 * 2.0 ** (BUCKET_BITS - MANTISSA) * 4 * ratio / (1 + ratio) ** 2  # the published constant
-    return np.clip((same - chance) / np.maximum(1, either), 0, 1)
+    chance = 0.169919487159739 * REGISTERS / 2.0**MANTISSA * 4 * ratio / (1 + ratio) ** 2  # the published constant
+    return np.clip((same - chance) / REGISTERS, 0, 1)
 
 
 def band_keys(registers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, which): documents x BANDS hashes, and whether a band has any register that isn't empty."""
-    r = registers.astype(np.uint64).reshape(len(registers), BANDS, ROWS)
+    """(keys, which): documents x BANDS hashes, and whether the document has any shingles."""
+    r = registers[:, : BANDS * ROWS].astype(np.uint64).reshape(len(registers), BANDS, ROWS)
     x = np.zeros(r.shape[:2], np.uint64)
     for k in range(ROWS):
-        x = (x << np.uint64(16)) | r[:, :, k]
-    full = x > 0
-    return K.mix(K.mix(x) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), full
+        x = K.mix(x * np.uint64(0x9E3779B97F4A7C15) + r[:, :, k] + np.uint64(1))
+    return K.mix(x + np.arange(BANDS, dtype=np.uint64)), r.max(2) > 0
 
 
 def _picked(docs: DataFrame, text: str, id: str) -> DataFrame:
@@ -177,9 +193,9 @@ def plausible(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
         ok = 100 * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m)
         if len(n):
             a, b = (np.frombuffer(b"".join(r), "<u2").reshape(-1, REGISTERS) for r in (rx, ry))
-            either = ((a > 0) | (b > 0)).sum(1)
-            limit = NUMERATOR / 100 - 6 * np.sqrt(0.1875 / np.maximum(1, either))  # 0.1875: the variance at the threshold
-            ok &= (estimate(a, b, n, m) >= limit) | (either < 30)
+            free = np.minimum(REGISTERS, np.minimum(n, m))  # registers that densification hasn't copied, at most
+            limit = NUMERATOR / 100 - 6 * np.sqrt(0.1875 / np.maximum(1, free))  # 0.1875: the variance at the threshold
+            ok &= (estimate(a, b, n, m) >= limit) | (free < 30)
         return pd.Series(ok)
 
     both = _sides(pairs, sketch, ["n_shingles", "registers"])
@@ -228,13 +244,14 @@ def link(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     work = Scratch(spark, "neardup")
-    sketch = work.keep(sketch_table(docs, text, id), "sketch")
-    rows = sketch.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "digest")
+    whole = work.keep(sketch_table(docs, text, id), "sketch")
+    rows = whole.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "digest")
     heavy = work.keep(frequent(rows, "digest"), "heavy")
     classes = work.keep(rows.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sketch.filter("doc_id is not null").join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    reps = whole.filter("doc_id is not null").join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
     reps = work.keep(reps.select(F.col("doc_id").alias("node"), "n_shingles", "registers"), "reps")
-
+    sketch = work.keep(whole.drop("registers"), "sizes")  # registers are wanted for representatives only
+    work.drop(f"{work.root}/001-sketch")
     texts = _picked(docs, text, id)
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -248,12 +265,30 @@ def link(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
         work.release()
         return out
 
-    banded = work.keep(bands(reps.select(F.col("node").alias("doc_id"), "registers")), "bands")
-    led = work.keep(decide(banded, "key", F.min).filter("group_size > 1").select("key", "doc_id", "keep_id"), "buckets")  # only buckets of several members
+    # buckets of several members, by partial sums; at most HEAVY of them have 1/HEAVY of all rows
+    banded = bands(reps.select(F.col("node").alias("doc_id"), "registers"))
+    buckets = work.keep(banded.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    work.release()
+    least = reps.count() * BANDS // HEAVY
+    big, small = buckets.filter(F.col("n") > least), buckets.filter(F.col("n") <= least)
+    led = banded.join(F.broadcast(big.select("key", "leader")), "key").unionByName(banded.join(F.broadcast(big.select("key")), "key", "left_anti").join(small.select("key", "leader"), "key"))
+    led = work.keep(led, "members")
     work.release()
-    pairs = work.keep(led.filter("doc_id <> keep_id").select(F.col("keep_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    links = confirm(pairs)
+
+    def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different components."""
+        for end in ("a", "b"):
+            pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}")), end, "left").withColumn(f"l{end}", F.coalesce(f"l{end}", end))
+        return pairs.filter("la <> lb").select("a", "b")
+
+    # first each document with the leader of most of its buckets, then with its other leaders if that left them apart
+    pairs = work.keep(led.filter("doc_id <> leader").groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n")), "pairs")
+    links = confirm(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")))
     labels = components(links, work)
+    more = confirm(across(pairs.select("a", "b"), labels))
+    if more.limit(1).count():
+        links = work.keep(links.unionByName(more), "links")
+        labels = components(links, work)
     done, chunk = 1, LEADERS
     members = led.select("key", "doc_id")
     while True:
@@ -264,13 +299,15 @@ def link(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
         several = work.keep(several, "several")
         if several.limit(1).count() == 0:
             break
-        hot = several.filter(F.col("n") > 10_000).orderBy(F.col("n").desc()).limit(1000)  # at most 1000 keys
-        open_ = named.join(F.broadcast(hot.select("key")), "key", "left_semi").unionByName(named.join(F.broadcast(hot.select("key")), "key", "left_anti").join(several.select("key"), "key", "left_semi"))
+        hot = several.orderBy(F.col("n").desc(), "key").limit(HEAVY).select("key")
+        open_ = named.join(F.broadcast(hot), "key", "left_semi").unionByName(named.join(F.broadcast(hot), "key", "left_anti").join(several.select("key"), "key", "left_semi"))
         members = work.keep(open_.select("key", "doc_id"), "open")
         place = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")
         leaders = open_.withColumn("at", F.row_number().over(place)).filter((F.col("at") >= done) & (F.col("at") < done + chunk)).select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"))
-        tries = open_.join(leaders, "key").filter("label <> la").select(F.greatest("a", "doc_id").alias("b"), F.least("a", "doc_id").alias("a")).distinct()
-        more = confirm(work.keep(tries, "pairs"))
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        spread = open_.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        tries = spread.join(leaders.select("*", salts), ["key", "salt"]).filter("label <> la").select(F.greatest("a", "doc_id").alias("b"), F.least("a", "doc_id").alias("a")).distinct()
+        more = confirm(work.keep(tries, "tries"))
         if more.limit(1).count():
             links = work.keep(links.unionByName(more), "links")
             labels = components(links, work)
