@@ -8,8 +8,9 @@
    smallest id), never with all others, and first only with the leader that it meets most often.
 4. Pairs are verified on full sets, unless the collision-corrected estimate of the sketches is over six standard
    deviations too low.  Sets are made anew from the texts of the documents of such pairs only.
-5. Links give components.  Buckets that still hold several components go on: their next 32, 64, 128, ... members become
-   leaders for the members of other components, until all have been, so no candidate pair is left out.
+5. Links give components.  Buckets that still hold several components are searched within tasks: each pair of members of
+   different components is looked at once, in the first band that it shares, by its estimate and then by its sets.  Tasks
+   give links, never pairs; a large bucket is dealt into cells of a bounded size.
 
 Two sets at the threshold share none of the bands with a probability of (1 - 0.75^6)^59, about 1 in
 100,000.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import kernels as K
 from .exact import frequent, lookup
@@ -32,7 +33,7 @@ NUMERATOR = 75  # of 100
 REGISTERS, MANTISSA = 359, 10  # a prime number of registers: every stride visits all of them
 BANDS, ROWS = 59, 6
 SALTS = 32
-LEADERS = 32
+CELL = 512
 HEAVY = 1000
 BROADCAST_IDS = 200_000  # 1.6 MB of ids; more of them are joined by a shuffle
 _ROLL = K.Rolling(83, fold_case=True)
@@ -159,16 +160,71 @@ def set_table(docs: DataFrame) -> DataFrame:
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """(key, doc_id): the bands of (doc_id, registers) that aren't empty."""
+    """(key, band, doc_id): the bands of (doc_id, registers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             regs = np.frombuffer(b"".join(K.column(batch, "registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
             keys, full = band_keys(regs)
             ids = np.repeat(K.column(batch, "doc_id").to_numpy(), full.sum(1))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[full].view(np.int64)), pa.array(ids)], ["key", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[full].view(np.int64)), pa.array(np.nonzero(full)[1].astype(np.int32)), pa.array(ids)], ["key", "band", "doc_id"])
 
-    return reps.mapInArrow(run, "key long, doc_id long")
+    return reps.mapInArrow(run, "key long, band int, doc_id long")
+
+
+def _least_estimate(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Six standard deviations under the threshold; registers that densification copied count for nothing."""
+    free = np.minimum(REGISTERS, np.minimum(n, m))
+    return np.where(free < 30, -1.0, NUMERATOR / 100 - 6 * np.sqrt(0.1875 / np.maximum(1, free)))  # 0.1875: the variance at the threshold
+
+
+class Joined:
+    """Union-find over labels."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def cell_links(band: int, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, regs: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+    """Links between different components within a cell of a bucket, at most one less than it has components.
+
+    ``side``: 0 and 1 if the cell compares two parts of a bucket, all 0 if it compares one with itself.  A pair is looked
+    at only in the first band that it shares.  Sets are 32-bit hashes; what they may have lost to collisions is allowed
+    for, so no link is missed, and links are verified on whole sets later.
+    """
+    n = len(ids)
+    left, right = (np.triu_indices(n, 1)) if not side.any() else (x.ravel() for x in np.meshgrid(np.flatnonzero(side == 0), np.flatnonzero(side == 1), indexing="ij"))
+    ok = (labels[left] != labels[right]) & (100 * np.minimum(sizes[left], sizes[right]) >= NUMERATOR * np.maximum(sizes[left], sizes[right]))
+    left, right = left[ok], right[ok]
+    found: list[tuple[float, int, int]] = []
+    for k in range(0, len(left), 8192):
+        i, j = left[k : k + 8192], right[k : k + 8192]
+        same = regs[i] == regs[j]
+        likely = np.flatnonzero(same.mean(1) >= _least_estimate(sizes[i], sizes[j]))
+        first = same[likely][:, : BANDS * ROWS].reshape(len(likely), BANDS, ROWS).all(2).argmax(1) == band
+        likely = likely[first]
+        found += zip((-same[likely].mean(1)).tolist(), i[likely].tolist(), j[likely].tolist())
+    out, whole = [], Joined()
+    for _, i, j in sorted(found):
+        if whole.find(int(labels[i])) != whole.find(int(labels[j])):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            both += int(sizes[i] - len(sets[i]) + sizes[j] - len(sets[j]))
+            if 100 * both >= NUMERATOR * (sizes[i] + sizes[j] - both):
+                # the 32-bit sets may flatter: only a verified link may stand for others, so nothing is skipped for it
+                out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+                if both * 100 >= NUMERATOR * (sizes[i] + sizes[j] - both) + 200:
+                    whole.join(int(labels[i]), int(labels[j]))
+    return out
 
 
 def _sides(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -193,9 +249,7 @@ def plausible(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
         ok = 100 * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m)
         if len(n):
             a, b = (np.frombuffer(b"".join(r), "<u2").reshape(-1, REGISTERS) for r in (rx, ry))
-            free = np.minimum(REGISTERS, np.minimum(n, m))  # registers that densification hasn't copied, at most
-            limit = NUMERATOR / 100 - 6 * np.sqrt(0.1875 / np.maximum(1, free))  # 0.1875: the variance at the threshold
-            ok &= (estimate(a, b, n, m) >= limit) | (free < 30)
+            ok &= estimate(a, b, n, m) >= _least_estimate(n, m)
         return pd.Series(ok)
 
     both = _sides(pairs, sketch, ["n_shingles", "registers"])
@@ -219,6 +273,45 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _sides(pairs, sets, ["set"]).filter(similar("x_set", "y_set")).select("a", "b")
 
 
+def _open_links(members: DataFrame, reps: DataFrame, sets: DataFrame, size: int) -> DataFrame:
+    """(a, b) by ``cell_links`` over members (key, band, doc_id, label, n) of buckets with several components.
+
+    A bucket of more than CELL members is dealt into parts, and each two parts meet in a cell of their own.  No pairs are
+    made outside of a cell, and cells give at most a spanning forest.
+    """
+    parts = F.ceil(F.col("n") / CELL).cast("int")
+    dealt = members.withColumn("parts", parts).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
+    groups = max(1, size // 2048)
+
+    def run(key, table):
+        table = table.sort_by([("key", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("doc_id", "ascending")])
+        cols = {c: table[c].to_numpy() for c in ("key", "lo", "hi", "mine", "doc_id", "label", "band", "n_shingles")}
+        regs = np.frombuffer(b"".join(table["registers"].to_pylist()), "<u2").reshape(-1, REGISTERS)
+        new = np.ones(len(regs), bool)
+        new[1:] = (cols["key"][1:] != cols["key"][:-1]) | (cols["lo"][1:] != cols["lo"][:-1]) | (cols["hi"][1:] != cols["hi"][:-1])
+        ends = np.append(np.flatnonzero(new), len(regs))
+        raw = table["small"]
+        out = []
+        for i, j in zip(ends[:-1], ends[1:]):
+            if len(np.unique(cols["label"][i:j])) > 1:
+                own = [np.frombuffer(raw[k].as_py(), "<u4") for k in range(i, j)]
+                side = (cols["mine"][i:j] != cols["lo"][i]).astype(int) if cols["lo"][i] != cols["hi"][i] else np.zeros(j - i, int)
+                out += cell_links(int(cols["band"][i]), cols["doc_id"][i:j], cols["label"][i:j], cols["n_shingles"][i:j], regs[i:j], own, side)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    @F.pandas_udf("binary")
+    def shortened(x):
+        return x.map(lambda b: np.unique(np.frombuffer(b, "<u8").astype(np.uint32)).astype("<u4").tobytes())
+
+    # sets are shortened before they are joined to the buckets
+    small = sets.groupBy("node").agg(F.min("set").alias("set")).select(F.col("node").alias("doc_id"), shortened("set").alias("small"))
+    one = small.join(reps.dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "n_shingles", "registers"), "doc_id")
+    full = dealt.select("key", "band", "doc_id", "label", "mine", "lo", "hi").join(one, "doc_id")
+    return full.withColumn("g", F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(groups))).groupBy("g").applyInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame, work: Scratch) -> DataFrame:
     """(node, label): the smallest node that links reach, for nodes with links.  Rounds of minimum and pointer jumping."""
     both = work.keep(links.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("to"))).filter("node <> to").distinct(), "edges")
@@ -254,14 +347,17 @@ def link(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     work.drop(f"{work.root}/001-sketch")
     texts = _picked(docs, text, id)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """Links among candidate pairs."""
-        likely = work.keep(plausible(pairs, reps), "likely")
-        nodes = work.keep(likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct(), "nodes")
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """The sets of some documents, from their texts."""
         few = nodes.count() <= BROADCAST_IDS
         own = texts.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
-        sets = work.keep(set_table(own).dropDuplicates(["node", "set"]), "sets")
-        out = work.keep(verified(likely, sets), "links")
+        return work.keep(set_table(own).dropDuplicates(["node", "set"]), "sets")
+
+    def confirm(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """Links among candidate pairs."""
+        likely = work.keep(plausible(pairs, reps) if sets is None else pairs, "likely")
+        ends = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
+        out = work.keep(verified(likely, sets_of(work.keep(ends, "nodes")) if sets is None else sets), "links")
         work.release()
         return out
 
@@ -289,29 +385,19 @@ def link(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     if more.limit(1).count():
         links = work.keep(links.unionByName(more), "links")
         labels = components(links, work)
-    done, chunk = 1, LEADERS
-    members = led.select("key", "doc_id")
-    while True:
-        work.release()
-        named = members.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        named = work.keep(named, "named")
-        several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter((F.col("lo") < F.col("hi")) & (F.col("n") > done)).select("key", "n")
-        several = work.keep(several, "several")
-        if several.limit(1).count() == 0:
-            break
-        hot = several.orderBy(F.col("n").desc(), "key").limit(HEAVY).select("key")
-        open_ = named.join(F.broadcast(hot), "key", "left_semi").unionByName(named.join(F.broadcast(hot), "key", "left_anti").join(several.select("key"), "key", "left_semi"))
-        members = work.keep(open_.select("key", "doc_id"), "open")
-        place = Window.partitionBy("key").orderBy(F.xxhash64("doc_id"), "doc_id")
-        leaders = open_.withColumn("at", F.row_number().over(place)).filter((F.col("at") >= done) & (F.col("at") < done + chunk)).select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"))
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        spread = open_.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        tries = spread.join(leaders.select("*", salts), ["key", "salt"]).filter("label <> la").select(F.greatest("a", "doc_id").alias("b"), F.least("a", "doc_id").alias("a")).distinct()
-        more = confirm(work.keep(tries, "tries"))
+    # what is left: buckets that hold several components, each pair of members across components in the first of its bands
+    named = led.select("key", "band", "doc_id").join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    named = work.keep(named, "named")
+    several = work.keep(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n"), "several")
+    hot = several.filter(F.col("n") > least)
+    open_ = named.join(F.broadcast(hot), "key").unionByName(named.join(F.broadcast(hot.select("key")), "key", "left_anti").join(several.filter(F.col("n") <= least), "key"))
+    open_ = work.keep(open_, "open")
+    size = open_.count()
+    if size:
+        sets = sets_of(work.keep(open_.select("doc_id").distinct(), "nodes"))
+        more = confirm(work.keep(_open_links(open_, reps, sets, size), "found").distinct(), sets)
         if more.limit(1).count():
-            links = work.keep(links.unionByName(more), "links")
-            labels = components(links, work)
-        done, chunk = done + chunk, 2 * chunk
+            labels = components(work.keep(links.unionByName(more), "links"), work)
     final = classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
     some = F.col("n_shingles") > 0
     inside = sketch.filter(some & F.col("doc_id").isNotNull()).select("doc_id", "n_shingles", "digest")
