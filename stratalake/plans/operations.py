@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import statistics
 from dataclasses import astuple
 from datetime import date
 from pathlib import Path
@@ -11,7 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import config
 from ..feed_config import Feed, load_feeds
-from ..functions.scalars import short_key  # noqa: F401  (part of the public surface)
 from ..operators import alerts, arrival, drift, monitors
 from ..operators.contracts import load_contract
 from ..operators.monitors import MonitorResult
@@ -43,7 +43,7 @@ def run_monitors(lake: Lakehouse, as_of: date, feeds: tuple[Feed, ...] | None =
             if not all(_written(lake, t) for t in (m.table, *dict(m.tables).values())):
                 continue
             history = monitors.baselines(log, m.name) if log is not None else []
-            mid = sorted(history)[len(history) // 2] if len(history) % 2 else sum(sorted(history)[len(history) // 2 - 1 : len(history) // 2 + 1]) / 2 if history else None
+            mid = statistics.median(history) if history else None
             try:
                 if m.source == "snapshot_added":
                     metric = monitors.snapshot_added(lake.snapshot_details(m.table))
