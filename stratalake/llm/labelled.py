@@ -22,8 +22,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
     y = F.col(label).cast("double")
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), y.alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0.0, 1.0))
     own = own.filter(fold(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.round(F.avg("y")).cast("int").alias("y"))
-    # some ids may have no document: look at twice as many, but never at more than a bounded number
-    few = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * most)
+    # ids alone are sampled: those that have a document, first by a bound on the hash that leaves about four times as many
+    own = own.join(docs.select(F.col(id).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id"))
+    work = Scratch(docs.sparkSession, "labelled")
+    own = work.keep(own, "ids")
+    share = min(1.0, 4 * most / max(1, own.count()))
+    few = own.filter(F.col("h") <= min(2**63 - 1, -(2**63) + int(share * 2**64))).orderBy("h", "doc_id").limit(most).select("doc_id", "y")
     texts = docs.select(F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
-    return Scratch(docs.sparkSession, "labelled").keep(found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).repartition(12))
+    return work.keep(found, "texts")
