@@ -1,17 +1,18 @@
 """Vectorised text kernels over Arrow string buffers.
 
 Words are runs of bytes other than ``[\x20\x09-\x0D]``; this needs no decoding, so every kernel works on the UTF-8 bytes.
-Batches are cut into pieces of a few MB, so memory doesn't depend on the batch size.  A single longer text is one piece.
+Batches are cut into pieces of about 256 KB, so memory doesn't depend on the batch size.  A single longer text is one piece.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 18
 
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
@@ -112,6 +113,9 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batch: pa.RecordBatch, text: str, most: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) in pieces of about ``most`` bytes of text."""
+    tokens = sys.modules.get(f"{__package__}.tokens")
+    if tokens is not None and tokens._OPEN:  # this worker process has tokenised before
+        tokens.forget()
     at = batch.schema.get_field_index(text)
     data, offsets = text_buffers(batch.column(at))
     i, n = 0, len(offsets) - 1

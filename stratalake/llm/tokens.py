@@ -8,13 +8,14 @@ punctuation, which makes tables of ids much cheaper than merging again.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import sys
 from array import array
 
-CACHE_WORDS = 500_000
-CACHE_CORES = 800_000
+CACHE_WORDS = 100_000
+CACHE_CORES = 200_000
 #: A core that ends in an ASCII letter, digit or Latin-1 letter, then one run of punctuation.  Other words are looked up whole.
 _MARKS = b".,!?*#$%&;:|"
 _CORE_END = re.compile(rb"(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])\Z")
@@ -92,3 +93,9 @@ def tokenizer(path: str) -> WordTokenizer:
     if path not in _OPEN:
         _OPEN[path] = WordTokenizer(path)
     return _OPEN[path]
+
+
+def forget() -> None:
+    """Free the tables; a worker process that turns to other work calls it."""
+    _OPEN.clear()
+    gc.collect()
