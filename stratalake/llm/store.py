@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,18 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(name, rows)
 
 
+@contextmanager
+def single_rows(spark: SparkSession):
+    """Batches of one row, for tables whose rows are whole blocks; what is run inside has to be eager."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 1)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """The intermediate tables of one operator call."""
 
@@ -43,6 +56,7 @@ class Scratch:
         bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
 
     def path(self, name: str = "t") -> str:
         self._n += 1
@@ -52,7 +66,15 @@ class Scratch:
         """Write ``df`` and return the written table; the plan behind it is cut off."""
         path = self.path(name)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(kept)] = (kept, path)
+        return kept
+
+    def discard(self, *tables: DataFrame) -> None:
+        """Delete kept tables that nothing will read again."""
+        for t in tables:
+            _, path = self._paths.pop(id(t))
+            self.drop(path)
 
     def exists(self, path: str) -> bool:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,16 +2,18 @@
 
 A string is *repeated* if the same ``length`` bytes start at another place, in the same document or another one.
 
-1. **Anchors.**  In every run of ``length`` bytes the first smallest of its 64-byte hashes is its anchor (winnowing), so
+1. **Anchors.**  In every run of ``length`` bytes the first smallest of its 144-byte hashes is its anchor (winnowing), so
    equal strings have equal anchors at equal places.  A string whose anchor occurs once in the corpus occurs once itself;
    what is left are *units*: stretches of starts, cut at places that depend on their bytes alone, with the bytes their
    strings reach.
 2. **Collapse.**  Equal units (128-bit hashes) are counted.  One that occurs twice has repeated strings only, and goes on
-   once, as a partner for others: a group of a thousand copies costs as much as one.
-3. **Sampled suffixes.**  The sample of the difference cover modulo 3 are the places p with p mod 3 in {1, 2}.  The first 24
-   bytes of each, a triple of 8-byte symbols, are sorted over all tasks by ranges and named by their order.  Names recurse
-   as triples of names at p, p+24, p+48 (72 bytes) and of those at p, p+72, p+126 (198 bytes); longer prefixes can't
-   matter.  A name that occurs once can't be in a repeated string and leaves the recursion.
+   once, as a partner for others: a group of a thousand copies costs as much as one.  Anchors are then counted again among
+   what is left.
+3. **Sampled suffixes.**  The sample of the difference cover modulo 3 are the places p with p mod 3 in {1, 2}.  The triple of
+   22-byte symbols that starts at each (66 bytes) is sorted over all tasks by ranges of its 64-bit key and named by its
+   order.  Names recurse once, as the triple of names at p, p+66 and p+132 (198 bytes); longer prefixes can't matter.  A
+   name that occurs once can't be in a repeated string and leaves the recursion.  The order of names is that of keys, not
+   of the alphabet: neighbours are all that is needed.
 4. **Merge.**  Two suffixes are compared at the first offset (0, 1 or 2) where both are sampled, by the bytes before it, the
    name there, and the bytes behind it up to ``length``.  After the sort, neighbours with equal keys share ``length`` bytes.
 
@@ -30,15 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import kernels as K
-from .store import Scratch
+from .store import Scratch, single_rows
 from .substring import block_bounds, pack, unpack
 
 LENGTH = 200
-GRAM = 64
-BLOCK_BYTES = 4 << 20
+GRAM = 144
+BLOCK_BYTES = 2 << 20
 RANGE_KEYS = 1 << 19
-CUT_BITS = 3  # one of eight repeated anchors ends a unit
-SAMPLE = 65_536
+CUT_BITS = 5  # one of 32 repeated anchors ends a unit
 _A, _B = K.Rolling(101), K.Rolling(103)
 REPLY = "bucket int, block int, names binary, flags binary"
 SENT = "bucket int, block int, k1 binary, k2 binary, k3 binary, many binary"
@@ -83,14 +84,22 @@ def _ordered(table: pa.Table) -> pa.RecordBatch:
     return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
 
 
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stable order, whether a row differs from the one before)."""
+    plain = not keys[:, 1:].any()
+    by = np.argsort(keys[:, 0], kind="stable") if plain else np.lexsort(keys.T[::-1])
+    new = np.ones(len(keys), bool)
+    s = keys[by, 0] if plain else keys[by]
+    new[1:] = s[1:] != s[:-1] if plain else (s[1:] != s[:-1]).any(1)
+    return by, new
+
+
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct rows in order, whether each occurs more than once, place of each row among them)."""
     if not len(keys):
         return keys, np.zeros(0, bool), np.zeros(0, np.int64)
-    by = np.lexsort(keys.T[::-1])
+    by, new = _sorted(keys)
     s = keys[by]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]).any(1)
     group = np.cumsum(new) - 1
     inverse = np.empty(len(s), np.int64)
     inverse[by] = group
@@ -123,13 +132,10 @@ def _merge(key, table):
     sizes = [len(p) for p in parts]
     keys, more = np.concatenate(parts), np.concatenate(many)
     del parts
-    by = np.lexsort(keys.T[::-1])  # equal keys stay in the order of their blocks
-    s = keys[by]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]).any(1)
+    by, new = _sorted(keys)  # equal keys stay in the order of their blocks
     group = np.cumsum(new) - 1
     count = np.bincount(group, 1 + more[by])
-    names, flags = np.empty(len(s), np.uint64), np.empty(len(s), np.uint8)
+    names, flags = np.empty(len(keys), np.uint64), np.empty(len(keys), np.uint8)
     names[by] = (np.uint64(bucket) << np.uint64(32)) + group.astype(np.uint64) + np.uint64(1)
     flags[by] = (count[group] > 1) * REPEATED + new * OWNER
     ends = np.cumsum([0, *sizes])
@@ -160,13 +166,14 @@ def _hash_keys(*parts: np.ndarray) -> np.ndarray:
 # -- what a block does -------------------------------------------------------------------------------------------------
 
 
-def _units(offsets: np.ndarray, place: np.ndarray, fps: np.ndarray, own: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _units(offsets: np.ndarray, place: np.ndarray, fps: np.ndarray, own: np.ndarray, repeated: np.ndarray, cut: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(first start, last start + 1) of the units of a piece: runs of starts whose anchor occurs again."""
     n = len(own)
     good = np.concatenate([repeated, [False]])[own]
     first = np.zeros(n, bool)
     first[offsets[:-1][offsets[:-1] < n]] = True
-    first[place[repeated & ((fps >> np.uint64(61 - CUT_BITS)) & np.uint64((1 << CUT_BITS) - 1) == 0)]] = True
+    if cut:
+        first[place[repeated & ((fps >> np.uint64(61 - CUT_BITS)) & np.uint64((1 << CUT_BITS) - 1) == 0)]] = True
     begin = good.copy()
     begin[1:] &= ~good[:-1] | first[1:]
     stop = good
@@ -179,30 +186,33 @@ def _frag_ends(sizes: np.ndarray) -> np.ndarray:
     return np.repeat(np.cumsum(sizes), sizes)
 
 
-def _symbols(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    x = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        x = (x << np.uint64(8)) | data[at + k].astype(np.uint64)
-    return x
+#: Bytes of a symbol of the sampled triples, and of a triple; names of triples, in threes, then cover 3 * TRIPLE bytes.
+SYMBOL = 22
+TRIPLE = 3 * SYMBOL
+COVERS = 3 * TRIPLE
 
 
-#: Offsets of the three names in a triple, the bytes a triple's name covers, and the bytes it covers then.
-LEVELS = ((0, 8, 16, 24), (0, 24, 48, 72), (0, 72, 126, 198))
+def _one_key(*parts: np.ndarray) -> np.ndarray:
+    """A tuple of numbers as one 64-bit key."""
+    x = np.zeros(len(parts[0]), np.uint64)
+    for p in parts:
+        x = K.mix(x * np.uint64(0x9E3779B97F4A7C15) + p + np.uint64(1))
+    return _hash_keys(x)
 
 
 def _triples(state: dict, level: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, places) of the sampled places that may still be part of a repeated string."""
     data, sizes = state["data"], state["sizes"]
-    a, b, c, covers = LEVELS[level]
     n = len(data)
     start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    covers = (TRIPLE, COVERS)[level]
     at = np.flatnonzero(((np.arange(n) - start) % 3 != 0) & (np.arange(n) + covers <= _frag_ends(sizes)))
-    if level == 0:
-        return np.stack([_symbols(data, at + o) for o in (a, b, c)], 1) if len(at) else np.zeros((0, 3), np.uint64), at
+    if level == 0:  # the three symbols of a place lie side by side, so their tuple is the run of bytes
+        return _hash_keys(_A.ranges(_A.prefix(data), at, at + TRIPLE)), at
     names = np.zeros(n, np.uint64)
     names[state["at"]] = state["names"]
-    at = at[(names[at] > 0) & (names[at + b] > 0) & (names[at + c] > 0)]
-    return np.stack([names[at], names[at + b], names[at + c]], 1), at
+    at = at[(names[at] > 0) & (names[at + TRIPLE] > 0) & (names[at + 2 * TRIPLE] > 0)]
+    return _one_key(names[at], names[at + TRIPLE], names[at + 2 * TRIPLE]), at
 
 
 def _final(state: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,14 +224,13 @@ def _final(state: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
     start = np.repeat(np.cumsum(sizes) - sizes, sizes)
     s = np.flatnonzero(np.arange(n) + length <= _frag_ends(sizes))
     rest, keys, who = (s - start[s]) % 3, [], []
-    covers = LEVELS[-1][3]
     for ahead, classes in ((0, (1, 2)), (1, (0, 1)), (2, (0, 2))):
         x = s[np.isin(rest, classes)]
         x = x[names[x + ahead] > 0]
         other = np.full(len(x), ahead + 1, np.uint64)
-        for k in [*range(ahead), *range(ahead + covers, length)]:
+        for k in [*range(ahead), *range(ahead + COVERS, length)]:
             other = (other << np.uint64(8)) | data[x + k].astype(np.uint64)
-        keys.append(_hash_keys(names[x + ahead], other))
+        keys.append(_one_key(names[x + ahead], other))
         who.append(x)
     return np.concatenate(keys), np.concatenate(who)
 
@@ -234,23 +243,11 @@ class SuffixSort:
 
     def exchange(self, states: DataFrame, keys: Callable[[dict], tuple[np.ndarray, np.ndarray]], apply: Callable[[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict], total: int, name: str) -> DataFrame:
         """Send ``keys(state)``, merge, and store ``apply(state, keys, places, names, flags)``."""
-        ranges = max(1, -(-total // RANGE_KEYS))
-        cuts = np.zeros(0, np.uint64)
-        if ranges > 1:
-            blocks = max(1, states.count())
-            each = max(4, SAMPLE // blocks)
-
-            def sample(batches):
-                for batch in batches:
-                    for p in batch.column(0):
-                        k, _ = keys(pickle.loads(p.as_py()))
-                        x = np.sort(k[:, 0])
-                        yield pa.RecordBatch.from_arrays([pa.array(x[:: max(1, len(x) // each)].view(np.int64))], ["k"])
-
-            # a bounded sample of the keys' first parts, SAMPLE in all or four for each block
-            x = np.sort(np.array([r[0] for r in states.select("payload").mapInArrow(sample, "k long").collect()], np.int64).view(np.uint64))
-            if len(x):
-                cuts = np.unique(x[np.linspace(0, len(x) - 1, ranges + 1).astype(int)[1:-1]])
+        with single_rows(self.spark):
+            return self._exchange(states, keys, apply, total, name)
+
+    def _exchange(self, states, keys, apply, total, name) -> DataFrame:
+        cuts = _even(max(1, -(-total // RANGE_KEYS)))
 
         def send(batches):
             for batch in batches:
@@ -270,10 +267,11 @@ class SuffixSort:
                 _, _, inverse = _distinct(k)
                 names, flags = _reply(replies)
                 out.append((block, apply(state, k, at, names[inverse], flags[inverse])))
-            return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "n": pa.array([len(s.get("at", ())) for _, s in out], pa.int64()), "payload": K.binaries([pickle.dumps(s, 5) for _, s in out])})
+            return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "n": pa.array([s["n"] for _, s in out], pa.int64()), "payload": K.binaries([pickle.dumps(s, 5) for _, s in out])})
 
         found = states.select("block", "payload").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(receive, "block int, n long, payload binary")
         kept = self.work.keep(found, name)
+        self.work.discard(back, states)
         self.work.release()
         return kept
 
@@ -303,7 +301,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", id
         return pd.Series(np.where(ids.isna(), many, at).astype(np.int32))
 
     dealt = rows.withColumn("block", block_of("doc_id"))
-    cuts = _even(max(1, -(-size // 40 // RANGE_KEYS)))
+    cuts = _even(max(1, -(-size // 25 // RANGE_KEYS)))
 
     def send_anchors(key, table):
         parts = [anchors(data, offsets, length)[1] for _, data, offsets in K.pieces(_ordered(table), "text")]
@@ -343,6 +341,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", id
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(distinct)], pa.int64()), "payload": K.binaries([pickle.dumps(state, 5)])})
 
     units = work.keep(dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(find_units, "block int, n long, payload binary"), "units")
+    work.discard(back)
     work.release()
     n_units = units.agg(F.sum("n")).first()[0] or 0
 
@@ -358,23 +357,45 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", id
         keep = np.flatnonzero(owner)
         data = b"".join(state["bytes"][ends[i] - state["kind_size"][i] : ends[i]] for i in keep.tolist())
         out = {k: state[k] for k in ("doc", "begin", "size", "kind")}
-        return out | {"shared": shared, "kept_kind": keep, "data": np.frombuffer(data, np.uint8), "sizes": state["kind_size"][keep], "at": np.arange(len(data))}
+        return out | {"shared": shared, "kept_kind": keep, "data": np.frombuffer(data, np.uint8), "sizes": state["kind_size"][keep], "n": len(data)}
 
     states = sort.exchange(units, unit_keys, own_units, n_units, "owned")
-    for level in range(len(LEVELS)):
+
+    def left_anchors(state):  # of the units that are left, each once
+        ends = np.concatenate([[0], np.cumsum(state["sizes"])])
+        _, fps, _ = anchors(state["data"], ends, length)
+        return _hash_keys(fps), np.arange(len(fps))
+
+    def narrow(state, keys, at, names, flags):
+        """Only stretches whose anchors occur in another unit, or again in their own, can hold strings to find."""
+        sizes, data = state["sizes"], state["data"]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        place, fps, own = anchors(data, ends, length)
+        a, b = _units(ends, place, fps, own, (flags & REPEATED) > 0, cut=False)
+        raw = data.tobytes()
+        out = {k: state[k] for k in ("doc", "begin", "size", "kind", "shared", "kept_kind")}
+        new = b"".join(raw[i:j] for i, j in zip(a.tolist(), (b + length - 1).tolist()))
+        return out | {"unit_sizes": sizes, "from": a, "data": np.frombuffer(new, np.uint8), "sizes": b + length - 1 - a, "n": len(new)}
+
+    states = sort.exchange(states, left_anchors, narrow, (states.agg(F.sum("n")).first()[0] or 0) // 25, "narrowed")
+    for level in (0, 1):
         total = states.agg(F.sum("n")).first()[0] or 0
 
         def name(state, keys, at, names, flags):
             more = (flags & REPEATED) > 0
-            return state | {"at": at[more], "names": names[more]}
+            return state | {"at": at[more].astype(np.int32), "names": names[more], "n": int(more.sum())}
 
         states = sort.exchange(states, lambda s, level=level: _triples(s, level), name, total, f"names{level}")
     total = states.agg(F.sum("n")).first()[0] or 0
 
     def settle(state, keys, starts, names, flags):
-        hit = np.zeros(len(state["data"]), bool)
-        hit[starts[(flags & REPEATED) > 0]] = True
-        return {"doc": state["doc"], "begin": state["begin"], "size": state["size"], "kind": state["kind"], "shared": state["shared"], "kept_kind": state["kept_kind"], "sizes": state["sizes"], "hit": np.packbits(hit), "at": starts[:0]}
+        hit = np.zeros(int(state["unit_sizes"].sum()), bool)
+        found = starts[(flags & REPEATED) > 0]
+        ends = np.cumsum(state["sizes"])
+        part = np.searchsorted(ends, found, "right")
+        if len(found):  # back from the stretches to the units
+            hit[state["from"][part] + found - (ends - state["sizes"])[part]] = True
+        return {k: state[k] for k in ("doc", "begin", "size", "kind", "shared", "kept_kind")} | {"sizes": state["unit_sizes"], "hit": np.packbits(hit), "n": 0}
 
     states = sort.exchange(states, lambda s: _final(s, length), settle, total, "settled")
 
