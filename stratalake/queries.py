@@ -230,6 +230,18 @@ def j5_f9_calendar_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return arrival.missing(expected_periods(spark, "daily", ends["a"], ends["b"]), counts).select(F.col("period").cast("string").alias("period"))
 
 
+_WHOLE_CAL = _CAL.replace(" WHERE o_custkey % 97 = 0", "")
+
+
+@query(f"WITH {_WHOLE_CAL} SELECT period::VARCHAR AS period FROM days ANTI JOIN n USING (period)")
+def j5_f9_calendar_gaps_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders.  ``j5_f9_calendar_gaps`` counts those of one customer in 97, as its SQL does, so that days are missing."""
+    o = read(spark, sf, "orders")
+    ends = o.agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b")).first()
+    counts = arrival.period_counts(o, "o_orderdate")
+    return arrival.missing(expected_periods(spark, "daily", ends["a"], ends["b"]), counts).select(F.col("period").cast("string").alias("period"))
+
+
 @query("SELECT coalesce(a.k, b.k) AS finding_key, CASE WHEN b.k IS NULL THEN 'new' WHEN a.k IS NULL THEN 'cleared' ELSE 'still_open' END AS change FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE year(o_orderdate) = 1997) a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE year(o_orderdate) = 1996) b ON a.k = b.k")
 def j6_u4_run_diff(spark: SparkSession, sf: str) -> DataFrame:
     o = read(spark, sf, "orders").select(F.col("o_custkey").alias("finding_key"), F.year("o_orderdate").alias("y"))
@@ -427,12 +439,13 @@ def m1_m8_volume_monitor(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(newest["metric"], float(statistics.median(history)), status)], "metric double, baseline double, status string")
 
 
-@query(
-    """WITH e AS (SELECT ts::DATE AS d, count(*) AS n FROM events WHERE user_id % 7 = 0 GROUP BY 1), w AS (SELECT greatest(max(d) - 30, min(d)) AS a, max(d) + 10 AS b, max(d) AS newest FROM e),
+_ARRIVAL = """WITH e AS (SELECT ts::DATE AS d, count(*) AS n FROM events WHERE user_id % 7 = 0 GROUP BY 1), w AS (SELECT greatest(max(d) - 30, min(d)) AS a, max(d) + 10 AS b, max(d) AS newest FROM e),
       p AS (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS d FROM w), s AS (SELECT p.d, n FROM p LEFT JOIN e USING (d))
     SELECT 'arrival_lag' AS kind, 10.0::DOUBLE AS metric, 'breach' AS status UNION ALL SELECT 'arrival_gap', count(*) FILTER (n IS NULL)::DOUBLE, CASE WHEN count(*) FILTER (n IS NULL) > 0 THEN 'breach' ELSE 'ok' END FROM s
     UNION ALL SELECT 'arrival_partial', count(*) FILTER (n < 5)::DOUBLE, CASE WHEN count(*) FILTER (n < 5) > 0 THEN 'warn' ELSE 'ok' END FROM s"""
-)
+
+
+@query(_ARRIVAL)
 def r1_r5_arrival(spark: SparkSession, sf: str) -> DataFrame:
     from datetime import timedelta
 
@@ -442,6 +455,17 @@ def r1_r5_arrival(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(x.kind, x.metric, x.status) for x in found], "kind string, metric double, status string")
 
 
+@query(_ARRIVAL.replace(" WHERE user_id % 7 = 0", ""))
+def r1_r5_arrival_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All events.  ``r1_r5_arrival`` reads those of one user in seven, as its SQL does, so that days are missing and thin."""
+    from datetime import timedelta
+
+    e = read(spark, sf, "events").select(F.to_date("ts").alias("d"))
+    as_of = e.agg(F.max("d")).first()[0] + timedelta(10)
+    found = arrival.check_arrival(e, "events", "d", "daily", 3, 5, as_of)
+    return spark.createDataFrame([(x.kind, x.metric, x.status) for x in found], "kind string, metric double, status string")
+
+
 _RESULTS = "SELECT DISTINCT o_orderdate::DATE AS run_at, 'm' || o_orderpriority[1] AS monitor, 'orders' AS table_name, NULL AS column_name, CASE WHEN o_totalprice > 200000 THEN 'breach' WHEN o_totalprice > 150000 THEN 'warn' ELSE 'ok' END AS status FROM orders"
 
 
