@@ -66,6 +66,37 @@ class Rolling:
         return mix(x + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
+class PrimeRolling:
+    """Polynomial hashes of byte ranges modulo the prime 2^31 - 1; shares neither codes nor modulus with ``Rolling``."""
+
+    prime = (1 << 31) - 1
+
+    def __init__(self, seed: int):
+        self.code = U64(1) + _random_words(seed, 256) % U64(self.prime - 1)
+        self.base = int(_random_words(seed + 1, 1)[0]) % (self.prime - 2) + 2
+        self.back = pow(self.base, -1, self.prime)
+        self._up = self._down = np.ones(1, U64)
+
+    def _powers(self, n: int) -> None:
+        m = U64(self.prime)
+        while len(self._up) < n:
+            k = len(self._up)
+            self._up = np.concatenate([self._up, self._up * U64(pow(self.base, k, self.prime)) % m])
+            self._down = np.concatenate([self._down, self._down * U64(pow(self.back, k, self.prime)) % m])
+
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        """Sums of residues below 2^31, so they are exact up to 2^33 bytes."""
+        self._powers(len(data) + 1)
+        out = np.zeros(len(data) + 1, U64)
+        np.cumsum(self.code[data] * self._up[: len(data)] % U64(self.prime), out=out[1:])
+        return out
+
+    def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of ``data[start:end]``."""
+        m = U64(self.prime)
+        return (prefix[end] - prefix[start]) % m * self._down[start] % m
+
+
 class Words:
     """The words of a piece of a batch: byte bounds, and bounds of each document's words."""
 
@@ -95,11 +126,17 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, n: int, salt: int = 0) -> tu
     x = np.zeros(m, U64)
     for k in range(n):
         x += hashes[k : k + m] * factor[k]
-    last = np.repeat(bounds[1:], np.diff(bounds))[:m]  # end of the document of each word
-    at = np.flatnonzero(np.arange(m) + n <= last)
+    at = window_starts(len(hashes), bounds, n)
     return mix(x[at]), at
 
 
+def window_starts(words: int, bounds: np.ndarray, n: int) -> np.ndarray:
+    """Indices of the first words of every run of ``n`` words within a document."""
+    m = max(0, words - n + 1)
+    last = np.repeat(bounds[1:], np.diff(bounds))[:m]  # end of the document of each word
+    return np.flatnonzero(np.arange(m) + n <= last)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty texts."""
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column

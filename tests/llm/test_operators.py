@@ -102,6 +102,20 @@ def test_substring_index_takes_batches_in_any_order(spark, unique_docs, texts):
     assert again[0] > 0
 
 
+@pytest.mark.parametrize("options", [{}, {"batches": 5, "fan_out": 2, "block_bytes": 6000}])
+def test_substring_matches_are_verified(docs, texts, options):
+    """With sixteen bits many fingerprints belong to several windows; only the checks tell them apart."""
+    got = substring.substring_dedup(docs, fingerprint_bits=16, **options).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))
+    assert rows(got) == sorted(brute.windows(plain(texts)), key=repr)
+
+
+def test_substring_dedup_compacts_by_default(docs, texts, monkeypatch):
+    runs, dedup = [], substring.FingerprintIndex.dedup
+    monkeypatch.setattr(substring.FingerprintIndex, "dedup", lambda self, *a, **b: (dedup(self, *a, **b), runs.append(len(self.runs)))[0])
+    got = substring.substring_dedup(docs, block_bytes=6000).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))
+    assert rows(got) == sorted(brute.windows(plain(texts)), key=repr) and runs == [1, 2, 1, 2]
+
+
 def test_packed_fingerprints_round_trip():
     x = np.sort(np.random.default_rng(0).integers(0, 1 << 64, 999, dtype=np.uint64))
     assert (substring.unpack(substring.pack(x)) == x).all() and len(substring.unpack(substring.pack(x[:0]))) == 0
