@@ -49,11 +49,6 @@ def flow(capacity: Mapping[frozenset, int], quota: Mapping[object, Fraction], mo
     Successive shortest paths with potentials: each step saturates an arc, a quota or a level of a pattern.
     """
     out: dict[tuple[frozenset, object], Fraction] = {}
-    if all(len(p) == 1 for p in capacity):  # no overlap: each source fills level after level of its only pattern
-        for p, c in capacity.items():
-            (s,) = p
-            out[p, s] = min(Fraction(quota.get(s, 0)), Fraction(c * most))
-        return out
     used = {p: Fraction(0) for p in capacity}
     need = {s: Fraction(q) for s, q in quota.items()}
     by_source: dict[object, list[frozenset]] = {s: [] for s in need}

@@ -244,6 +244,15 @@ def test_flow_is_as_cheap_as_linear_programming_would_be():
     assert sum(used.values()) == 8 and cost(used) == best
 
 
+def test_flow_of_single_members_takes_paths(monkeypatch):
+    """Also without overlap words come along augmenting paths, level by level."""
+    pushed, push = [], mixing.heapq.heappush
+    monkeypatch.setattr(mixing.heapq, "heappush", lambda heap, x: (pushed.append(x), push(heap, x)))
+    a, b, empty, none = frozenset("a"), frozenset("b"), frozenset("c"), frozenset([None])
+    f = mixing.flow({a: 10, b: 100, empty: 0, none: 7}, {"a": Fraction(99), "b": Fraction(201, 2), "c": Fraction(0), None: Fraction(7)})
+    assert {k: v for k, v in f.items() if v} == {(a, "a"): 30, (b, "b"): Fraction(201, 2), (none, None): 7} and pushed
+
+
 def test_mix(docs, texts):
     got = mixing.mix(docs).collect()
     assert len(got) == len(texts) and all(0 <= r.taken <= 3 * r.size for r in got)
