@@ -35,39 +35,79 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+CACHED = 1 << 14  # numbers handled at once, so that what lies between steps stays in the cache
+_P61, _LOW31, _LOW30 = U64((1 << 61) - 1), U64((1 << 31) - 1), U64((1 << 30) - 1)
+
+
+def _reduce61(x: np.ndarray) -> np.ndarray:
+    x = (x & _P61) + (x >> U64(61))
+    return np.minimum(x, x - _P61)  # the difference wraps where x is smaller
+
+
+def minus61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differences modulo 2^61 - 1 of residues."""
+    x = a + (_P61 - b)
+    return np.minimum(x, x - _P61)
+
+
+def times61(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Products modulo 2^61 - 1 of residues, from halves of 31 bits."""
+    out = np.empty(len(a), U64)
+    for i in range(0, len(a), CACHED):
+        x, y = a[i : i + CACHED], b[i : i + CACHED] if isinstance(b, np.ndarray) else b
+        x1, x0, y1, y0 = x >> U64(31), x & _LOW31, y >> U64(31), y & _LOW31
+        mid = x0 * y1 + x1 * y0
+        out[i : i + CACHED] = _reduce61(((x1 * y1) << U64(1)) + (mid >> U64(30)) + ((mid & _LOW30) << U64(31)) + x0 * y0)
+    return out
+
+
 class Rolling:
-    """Polynomial hashes of byte ranges modulo 2^64 over random byte codes, from prefix sums."""
+    """Polynomial hashes of byte ranges modulo the prime 2^61 - 1 over random byte codes, from prefix sums.
+
+    The field makes two different ranges of n bytes agree for at most n of the 2^61 bases, whatever the texts; modulo a
+    power of two there are texts that agree for every base.
+    """
+
+    prime = (1 << 61) - 1
 
     def __init__(self, seed: int, fold_case: bool = False):
-        self.code = _random_words(seed, 256)
+        self.code = U64(1) + _random_words(seed, 256) % U64(self.prime - 1)
         if fold_case:
             self.code = self.code[LOWER]
-        self.base = int(_random_words(seed + 1, 1)[0]) | 1
-        self.back = pow(self.base, -1, 1 << 64)
+        self.base = int(_random_words(seed + 1, 1)[0]) % (self.prime - 2) + 2
+        self.back = pow(self.base, -1, self.prime)
         self._up = self._down = np.ones(1, U64)
 
     def _powers(self, n: int) -> None:
-        if len(self._up) < n:
-            n = max(n, 2 * len(self._up))
-            for name, base in (("_up", self.base), ("_down", self.back)):
-                p = np.full(n, base, U64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
+        while len(self._up) < n:
+            k = len(self._up)
+            self._up = np.concatenate([self._up, times61(self._up, U64(pow(self.base, k, self.prime)))])
+            self._down = np.concatenate([self._down, times61(self._down, U64(pow(self.back, k, self.prime)))])
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         self._powers(len(data) + 1)
         out = np.zeros(len(data) + 1, U64)
-        np.cumsum(self.code[data] * self._up[: len(data)], out=out[1:])
+        for i in range(0, len(data), CACHED):
+            x = times61(self.code[data[i : i + CACHED]], self._up[i : i + CACHED][: len(data) - i])
+            low = np.cumsum(x & _LOW31)  # both sums are exact
+            high = np.cumsum(x >> U64(31))
+            low += (high >> U64(30)) + ((high & _LOW30) << U64(31)) + out[i]
+            out[i + 1 : i + 1 + len(x)] = _reduce61(low)
         return out
 
     def ranges(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of ``data[start:end]``, the length mixed in."""
-        x = (prefix[end] - prefix[start]) * self._down[start]
+        x = times61(minus61(prefix[end], prefix[start]), self._down[start])
         return mix(x + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
 
+    def grams(self, prefix: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of all stretches of ``n`` bytes."""
+        many = len(prefix) - n
+        return mix(times61(minus61(prefix[n:], prefix[:many]), self._down[:many]))
+
 
 class PrimeRolling:
-    """Polynomial hashes of byte ranges modulo the prime 2^31 - 1; shares neither codes nor modulus with ``Rolling``."""
+    """Polynomial hashes of byte ranges modulo the prime 2^31 - 1; shares neither codes nor field with ``Rolling``."""
 
     prime = (1 << 31) - 1
 

@@ -14,7 +14,7 @@ A batch that meets ``FAN_OUT`` runs compacts them: its merge, which reads every
 bucket instead of what is new, so the index is one run again.  A fingerprint only finds a candidate.  It is
 verified by the window's check: 16 bits of a second hash of the words, made modulo a prime from codes of its own, so that
 it doesn't depend on the fingerprint.  Windows with one fingerprint and different checks are different windows.  The words
-aren't kept; all 80 bits agree by chance with a probability of about n^2 / 2^81 among n different windows.
+aren't kept; fingerprint and check agree by chance with a probability of about n^2 / 2^78 among n different windows.
 """
 
 from __future__ import annotations

@@ -66,7 +66,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), own
     p = _A.prefix(data)
-    h = K.mix((p[GRAM:] - p[: n - GRAM + 1]) * _A._down[: n - GRAM + 1])
+    h = _A.grams(p, GRAM)
     low = _slide((h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), length - GRAM + 1, np.minimum) & np.uint64(0xFFFFFFFF)
     end = np.repeat(offsets[1:], np.diff(offsets))[: len(low)]
     start = np.flatnonzero(np.arange(len(low)) + length <= end)

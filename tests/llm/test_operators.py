@@ -197,6 +197,52 @@ def test_sketch_estimates():
     assert (one > 0).all() and len(set(one.ravel().tolist())) == 1
 
 
+def test_rolling_hashes_are_polynomials_modulo_a_prime():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 3 * K.CACHED + 17, dtype=np.uint8)
+    roll, m = K.Rolling(5), K.Rolling.prime
+    prefix, want, power = roll.prefix(data), 0, 1
+    for i, byte in enumerate(data.tolist()):
+        assert int(prefix[i]) == want
+        want, power = (want + int(roll.code[byte]) * power) % m, power * roll.base % m
+    assert int(prefix[-1]) == want
+    twice = np.concatenate([data, data])
+    p = roll.prefix(twice)
+    start = rng.integers(0, len(data), 500)
+    end = start + rng.integers(1, len(data), 500) % (len(data) - start + 1)
+    assert (roll.ranges(p, start, end) == roll.ranges(p, start + len(data), end + len(data))).all()
+    assert (roll.grams(p, 144)[: len(data) - 200] == roll.grams(p, 144)[len(data) : 2 * len(data) - 200]).all()
+    edge = np.array([0, 1, m - 1, m - 1, 1 << 60], np.uint64)
+    assert [int(x) for x in K.times61(edge, edge)] == [int(x) ** 2 % m for x in edge]
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048])
+def test_hashes_tell_thue_morse_strings_apart(n):
+    """Modulo 2^64 their polynomials agree for every odd base."""
+    a, b = (np.frombuffer(x.encode(), np.uint8) for x in thue_morse(n))
+    for seed in range(20):
+        roll = K.Rolling(seed)
+        x, y = (roll.ranges(roll.prefix(v), np.array([0]), np.array([n]))[0] for v in (a, b))
+        assert x != y
+
+
+def test_operators_tell_thue_morse_strings_apart(spark):
+    """Documents that are alike but for one long word, in front of 12 and of 4 others."""
+    words = [[f"w{n}x{i}" for i in range(many)] for n in (1024, 2048) for many in (12, 4)]
+    data = list(enumerate(" ".join([x, *rest]) for rest in words for n in (1024, 2048) for x in thue_morse(n)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = substring.substring_dedup(df, block_bytes=5000).withColumn("kept_text", F.sha2("kept_text", 256))
+    assert rows(got) == sorted(brute.windows(data), key=repr)
+    assert rows(neardup.link(df)) == sorted(brute.near(data), key=repr)
+    got = suffix.remove_repeats(df).withColumn("kept", F.sha2("kept", 256))
+    assert rows(got) == sorted(brute.repeats(data), key=repr)
+
+
 def test_word_kernels(texts):
     import pyarrow as pa
 
