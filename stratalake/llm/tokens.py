@@ -14,8 +14,7 @@ import re
 import sys
 from array import array
 
-CACHE_WORDS = 100_000
-CACHE_CORES = 200_000
+CACHE_WORDS = 300_000
 #: A core that ends in an ASCII letter, digit or Latin-1 letter, then one run of punctuation.  Other words are looked up whole.
 _MARKS = b".,!?*#$%&;:|"
 _CORE_END = re.compile(rb"(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])\Z")
@@ -38,50 +37,67 @@ def _raw(ids: list[int]) -> bytes:
 
 
 class WordTokenizer:
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_cores: int = CACHE_CORES):
+    """``cache_words`` bounds the table.  It has two generations: a word that is used again moves to the young one, and when
+    that is half the bound, the old one goes and the young one becomes old; so what goes hasn't been used for a while."""
+
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._encode, self._model = self._tokenizer.encode_batch, self._tokenizer.model.tokenize
         self._symbols = _byte_symbols()
-        self._words: dict[bytes, bytes] = {}
-        self._cores: dict[bytes, bytes] = {}
-        self._most_words, self._most_cores = cache_words, cache_cores
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+        self._most = cache_words
 
     def _learn(self, words: list[bytes]) -> None:
-        cores, parts = self._cores, []
+        """Put ``words``, and the pre-tokens of those that are two, into the young table."""
+        known, old, parts = self._young, self._old, []
         for w in words:
             low = w.lower()
             core = low.rstrip(_MARKS)
-            if core == low or b"<|" in w or b"|>" in w or not _CORE_END.search(core):
-                # whole: no marks at its end, or maybe a special token, which is cut out before anything else
-                parts.append((w if b"<|" in w or b"|>" in w else low, b""))
+            if b"<|" in w or b"|>" in w:  # maybe a special token, which is cut out before anything else
+                parts.append((w, b""))
+            elif len(core) == len(low) or not _CORE_END.search(core):
+                parts.append((w if low == w else low, b""))
             else:
                 parts.append((core, low[len(core) :]))
-        if len(cores) + 2 * len(words) > self._most_cores:
-            cores.clear()
-        new = list({p for pair in parts for p in pair if p and p not in cores})
+        new = []
+        for p in {p for pair in parts for p in pair if p and p not in known}:
+            ids = old.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                known[p] = ids
         if new:
             model, symbols = self._model, self._symbols
-            plain = [x for x in new if _LETTERS.fullmatch(x)]
-            cores.update((x, _raw([t.id for t in model(x.decode() if x.isascii() else x.decode("latin-1").translate(symbols))])) for x in plain)
-            new = [x for x in new if x not in cores]
-            cores.update(zip(new, (_raw(e.ids) for e in self._encode([x.decode("utf-8", "replace") for x in new], add_special_tokens=False))))
-        known = self._words
+            rest = []
+            for x in new:
+                if _LETTERS.fullmatch(x):
+                    known[x] = _raw([t.id for t in model(x.decode() if x.isascii() else x.decode("latin-1").translate(symbols))])
+                else:
+                    rest.append(x)
+            if rest:
+                known.update(zip(rest, (_raw(e.ids) for e in self._encode([x.decode("utf-8", "replace") for x in rest], add_special_tokens=False))))
         for w, (a, b) in zip(words, parts):
-            known[w] = cores[a] + cores[b] if b else cores[a]
+            known[w] = known[a] + known[b] if b else known[a]
 
     def ids(self, text: bytes) -> bytes:
         """The ids of UTF-8 ``text`` as little-endian 32-bit numbers, without special tokens added."""
         words = text.split()  # bytes.split() cuts at [\x20\x09-\x0D] only
-        known = self._words
-        new = list(set(words).difference(known))
+        known = self._young
+        new = set(words).difference(known)
         if new:
-            if len(known) + len(new) > self._most_words:
-                known.clear()
-                new = list(set(words))
-            self._learn(new)
+            if 2 * (len(known) + len(new)) > self._most:
+                self._old, self._young = known, {}
+                known, new = self._young, set(words)
+            old = self._old
+            again = [w for w in new if w in old]
+            known.update((w, old[w]) for w in again)
+            new.difference_update(again)
+            if new:
+                self._learn(list(new))
         return b"".join(map(known.__getitem__, words))
 
 
