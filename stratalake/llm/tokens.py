@@ -14,7 +14,8 @@ import re
 import sys
 from array import array
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
+CACHE_CORES = 200_000
 #: A core that ends in an ASCII letter, digit or Latin-1 letter, then one run of punctuation.  Other words are looked up whole.
 _MARKS = b".,!?*#$%&;:|"
 _CORE_END = re.compile(rb"(?:[a-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])\Z")
@@ -37,10 +38,13 @@ def _raw(ids: list[int]) -> bytes:
 
 
 class WordTokenizer:
-    """``cache_words`` bounds the table.  It has two generations: a word that is used again moves to the young one, and when
-    that is half the bound, the old one goes and the young one becomes old; so what goes hasn't been used for a while."""
+    """One table holds words and their pre-tokens, ``cache_words + cache_cores`` at most.
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    It has two generations: what is used again moves to the young one, and when that is half the bound, the old one goes
+    and the young one becomes old; so what goes hasn't been used for a while.
+    """
+
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_cores: int = CACHE_CORES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -49,7 +53,7 @@ class WordTokenizer:
         self._symbols = _byte_symbols()
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
-        self._most = cache_words
+        self._most = cache_words + cache_cores
 
     def _learn(self, words: list[bytes]) -> None:
         """Put ``words``, and the pre-tokens of those that are two, into the young table."""
