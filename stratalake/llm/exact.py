@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .store import Scratch
+from .store import Scratch, fresh
 
 COUNTERS = 1024
 UPPER, LOWER_CASE = bytes(range(65, 91)), bytes(range(97, 123))
@@ -114,15 +114,16 @@ def drop_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", k: int
 
     A row stays if its doc_id is the largest of its text.  Repeated rows with the same id and text become one row.
     """
-    stay = exact_dedup(docs, text, id, k).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    own, digest = fresh("__id", docs), fresh("__sha", docs)
+    stay = exact_dedup(docs, text, id, k).filter("kept").select(F.col("doc_id").alias(own), F.col("text_sha256").alias(digest)).distinct()
 
     @F.pandas_udf("string")
     def sha(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: hashlib.sha256((x or "").encode().translate(FOLD)).hexdigest())
 
-    keys = [F.col("a.__id").eqNullSafe(F.col("b.__id")), F.col("a.__sha") == F.col("b.__sha")]
-    tagged = docs.withColumns({"__id": F.col(id).cast("long"), "__sha": sha(F.col(text).cast("string"))})
-    return tagged.alias("a").join(stay.alias("b"), keys, "left_semi").dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    keys = [F.col(f"a.{own}").eqNullSafe(F.col(f"b.{own}")), F.col(f"a.{digest}") == F.col(f"b.{digest}")]
+    tagged = docs.withColumns({own: F.col(id).cast("long"), digest: sha(F.col(text).cast("string"))})
+    return tagged.alias("a").join(stay.alias("b"), keys, "left_semi").dropDuplicates([own, digest]).select(*docs.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

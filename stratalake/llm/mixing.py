@@ -18,7 +18,7 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .store import Scratch
+from .store import Scratch, fresh
 
 WEIGHTS = (5, 2, 1)
 MOST_TIMES = 3
@@ -173,10 +173,11 @@ def repeat(docs: DataFrame, **options) -> DataFrame:
     """
     id = options.get("id", "doc_id")
     taken = mix(docs, **options)
+    own, n, copy = (fresh(x, docs) for x in ("__id", "__times", "__copy"))
     times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    times = taken.filter("size > 0").groupBy("doc_id").agg(F.max(times).alias("__times")).filter("__times > 0").withColumnRenamed("doc_id", "__id")
-    joined = docs.join(times, F.col(id).cast("long").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    times = taken.filter("size > 0").groupBy("doc_id").agg(F.max(times).alias(n)).filter(F.col(n) > 0).withColumnRenamed("doc_id", own)
+    joined = docs.join(times, F.col(id).cast("long").eqNullSafe(F.col(own)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

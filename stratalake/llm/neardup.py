@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import kernels as K
 from .exact import frequent, lookup
-from .store import Scratch, bound_batches
+from .store import Scratch, bound_batches, fresh
 
 SHINGLE = 5
 NUMERATOR = 75  # of 100
@@ -408,8 +408,9 @@ def link(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
 
 def keep_one(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose document stays, the smallest id of each component; all columns unchanged."""
-    stay = Scratch(docs.sparkSession, "kept").keep(link(docs, text, id).filter("kept").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.alias("d").join(stay, F.col(f"d.{id}").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    own = fresh("__id", docs)
+    stay = Scratch(docs.sparkSession, "kept").keep(link(docs, text, id).filter("kept").select(F.col("doc_id").alias(own)).distinct())
+    return docs.alias("d").join(stay, F.col(f"d.{id}").cast("long").eqNullSafe(F.col(own)), "left_semi")
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

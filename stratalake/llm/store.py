@@ -26,6 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, made longer until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 BATCH_ROWS = 512
 
 

@@ -64,6 +64,16 @@ def test_drop_copies(docs, texts):
     assert sorted(((r.doc_id, brute.lower(r.text or "")) for r in got.collect()), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("operator", [exact.drop_copies, neardup.keep_one, mixing.repeat])
+def test_extra_columns_with_clashing_names(spark, operator):
+    data = [(i, f"a b c d e f {i // 2}", "s", 77, 78, 79, 80) for i in range(8)]
+    names = ["__id", "__sha", "__times", "__copy"]
+    df = spark.createDataFrame(data, ["doc_id", "text", "source", *names])
+    got, want = operator(df), operator(df.drop(*names))
+    assert got.columns == df.columns and rows(got.select("doc_id", "text", "source")) == rows(want)
+    assert got.select(*names).distinct().collect() == [(77, 78, 79, 80)]
+
+
 def test_line_dedup(docs, texts):
     got = lines.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256))
     assert rows(got) == sorted(brute.lines(plain(texts)), key=repr)
