@@ -22,11 +22,16 @@ def stamp(raw: DataFrame, source: str | None = None, at: datetime = INGESTED_AT)
     return raw.select(*body, F.lit(at).cast("timestamp").alias("_ingested_at"), origin.alias("_source_file"), payload_hash(body).alias("_payload_hash"), payload_json(body).alias("_raw_payload"))
 
 
-def land(lake: Lakehouse, table: str, stamped: DataFrame) -> int:
-    """Append under the live schema: columns that the table gained later are null.  Returns the rows added."""
+def land(lake: Lakehouse, table: str, stamped: DataFrame, batch: tuple[str, int] | None = None) -> int:
+    """Append under the live schema: columns that the table gained later are null.  Returns the rows added.
+
+    ``batch``: stream and number of a micro-batch; one that was appended before adds nothing.
+    """
     live = lake.live_schema(table)
     have = set(stamped.columns)
-    return lake.append(table, stamped.select([F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in live])).added
+    rows = stamped.select([F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in live])
+    done = lake.append_batch(table, rows, *batch) if batch else lake.append(table, rows)
+    return done.added if done else 0
 
 
 def renamed_source(lake: Lakehouse, table: str, stamped: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Structured Streaming into Bronze.
 
-Late corrections must win in Silver, so the stream keeps every delivery and drops nothing by watermark.  The id of a
-micro-batch is written with its rows' source, and a batch that was committed before a failure isn't appended again.
+Late corrections must win in Silver, so the stream keeps every delivery and drops nothing by watermark.  The number of a
+micro-batch is published in the same log file as its rows, so a batch that a failure repeats isn't appended again.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,16 +17,12 @@ from ..sources.store import Lakehouse
 
 def stream_to_bronze(lake: Lakehouse, raw: DataFrame, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Append each micro-batch of raw records as one snapshot; with ``once`` stop when all that is there was read."""
-    done_file = f"{checkpoint.rstrip('/')}/_appended"
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        path, fs = lake._path(f"{done_file}/{batch_id}")
-        if fs.exists(path) or batch.isEmpty():
-            return
-        before = len(lake.snapshots(table))
-        land(lake, table, stamp(batch))
-        assert len(lake.snapshots(table)) == before + 1
-        fs.create(path, True).close()
+        if not batch.isEmpty():
+            # Spark gives every checkpoint an id of its own, also one that is made anew in the same folder
+            stream = json.loads(lake._read(f"{checkpoint.rstrip('/')}/metadata"))["id"]
+            land(lake, table, stamp(batch), (stream, batch_id))
 
     writer = raw.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()
