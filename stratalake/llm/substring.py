@@ -111,6 +111,14 @@ class FingerprintIndex:
         self.spark, self.window, self.bits, self.fan_out, self.fingerprint_bits = spark, window, bits, fan_out, fingerprint_bits
         self.work = Scratch(spark, "windows")
         self.runs: list[str] = []
+        self._spent: list[str] = []
+
+    def settle(self) -> None:
+        """Delete what only the results of earlier batches read; call it when those are written."""
+        for path in self._spent:
+            self.work.drop(path)
+        self._spent = []
+        self.work.release()
 
     def _rows(self) -> DataFrame:
         schema = "bucket int, fps binary, checks binary"
@@ -203,6 +211,9 @@ class FingerprintIndex:
         merged = sent.groupBy("bucket").cogroup(self._rows().groupBy("bucket")).applyInArrow(merge, "bucket int, block int, fps binary, checks binary")
         path = self.work.path("run")
         merged.withColumn("known", F.col("block") >= 0).write.partitionBy("known").option("compression", "zstd").parquet(path)
+        del sent, merged
+        self.work.release()  # the run is written: the shuffled index and windows behind it go before texts are shuffled again
+        self._spent.append(f"{path}/known=true")
         if self.work.exists(f"{path}/known=false"):
             old, self.runs = (self.runs, []) if full else ([], self.runs)
             self.runs.append(f"{path}/known=false")
@@ -282,7 +293,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, batches: int = BATCHE
         inner = [b for b in bounds[start : start + step - 1]]
         found = index.work.keep(finish(index.dedup(part, blocks=(inner, len(inner) + 1))), "kept")
         out = found if out is None else out.unionByName(found)
-        index.work.release()
+        index.settle()
     return out
 
 
