@@ -10,6 +10,7 @@ the 64-bit fingerprints.  A new batch of documents is dealt into blocks by range
 3. every block marks the windows that are known or that a document with a smaller id in the same block has, and drops the
    words that they cover.
 
+Buckets are merged in ``PARTS`` ranges, one after the other, so shuffle space is needed for one range of the index only.
 A batch that meets ``FAN_OUT`` runs compacts them: its merge, which reads every bucket of them anyway, writes all of the
 bucket instead of what is new, so the index is one run again.  A fingerprint only finds a candidate.  It is
 verified by the window's check: 16 bits of a second hash of the words, made modulo a prime from codes of its own, so that
@@ -33,6 +34,7 @@ BLOCK_BYTES = 12 << 20
 BUCKET_WINDOWS = 1 << 20
 FAN_OUT = 2  # less than BATCHES: the third one compacts
 BATCHES = 4
+PARTS = 2  # a run's folders: part=<k>, ranges of its buckets
 MAX_BLOCKS = 50_000
 _ROLL = K.Rolling(61)
 _CHECK = K.PrimeRolling(71)
@@ -102,7 +104,7 @@ def _joined(fps: list[bytes], checks: list[bytes]) -> tuple[np.ndarray, np.ndarr
 
 
 class FingerprintIndex:
-    """An index of all windows seen so far.  ``bits``: its 2^bits buckets are fixed when it is made.
+    """An index of all windows seen so far.  ``bits``: its 2^bits buckets, ``PARTS`` at least, are fixed when it is made.
 
     ``fingerprint_bits``: how many bits of a fingerprint count, ``bits`` at least; results don't depend on it.
     """
@@ -120,9 +122,10 @@ class FingerprintIndex:
         self._spent = []
         self.work.release()
 
-    def _rows(self) -> DataFrame:
+    def _rows(self, part: int) -> DataFrame:
         schema = "bucket int, fps binary, checks binary"
-        return self.spark.read.schema(schema).parquet(*self.runs) if self.runs else self.spark.createDataFrame([], schema)
+        paths = [p for p in (f"{run}/part={part}/known=false" for run in self.runs) if self.work.exists(p)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def compact(self) -> None:
         """Merge all runs into one; the old ones are deleted after the new one is complete."""
@@ -133,15 +136,18 @@ class FingerprintIndex:
 
         if len(self.runs) > 1:
             path = self.work.path("run")
-            self._rows().groupBy("bucket").applyInArrow(merge, "bucket int, fps binary, checks binary").write.option("compression", "zstd").parquet(path)
+            for k in range(PARTS):
+                self._rows(k).groupBy("bucket").applyInArrow(merge, "bucket int, fps binary, checks binary").write.option("compression", "zstd").parquet(f"{path}/part={k}/known=false")
+                self.work.release()
             old, self.runs = self.runs, [path]
             for p in old:
-                self.work.drop(p)
+                for k in range(PARTS):
+                    self.work.drop(f"{p}/part={k}/known=false")
 
     def dedup(self, docs: DataFrame, text: str = "text", id: str = "doc_id", blocks: tuple[list[int], int] | None = None) -> DataFrame:
         """doc_id, n_words, n_removed, kept_text for each row of a new batch, which then belongs to the index.
 
-        Documents of earlier batches count as smaller, whatever their ids; within the batch smaller ids do.  Rows with one
+        Lazy: write the result before ``settle`` is called.  Documents of earlier batches count as smaller, whatever their ids; within the batch smaller ids do.  Rows with one
         id don't affect each other; null ids are one id larger than all others.  Null and empty texts have no words.
         Further columns don't matter; no rows give no rows.
         """
@@ -207,19 +213,33 @@ class FingerprintIndex:
                 sure.append(fresh_checks.tobytes())
             return pa.table({"bucket": pa.array([bucket] * len(out), pa.int32()), "block": pa.array(out_block, pa.int32()), "fps": K.binaries(out), "checks": K.binaries(sure)})
 
-        sent = dealt.groupBy("block").applyInArrow(send, "bucket int, block int, fps binary, checks binary")
-        merged = sent.groupBy("bucket").cogroup(self._rows().groupBy("bucket")).applyInArrow(merge, "bucket int, block int, fps binary, checks binary")
-        path = self.work.path("run")
-        merged.withColumn("known", F.col("block") >= 0).write.partitionBy("known").option("compression", "zstd").parquet(path)
-        del sent, merged
-        self.work.release()  # the run is written: the shuffled index and windows behind it go before texts are shuffled again
-        self._spent.append(f"{path}/known=true")
-        if self.work.exists(f"{path}/known=false"):
+        sent = self.work.path("sent")
+        windows = dealt.groupBy("block").applyInArrow(send, "bucket int, block int, fps binary, checks binary")
+        windows.withColumn("part", F.shiftright("bucket", bits - PARTS.bit_length() + 1)).write.partitionBy("part").parquet(sent)
+        del windows
+        path, schema = self.work.path("run"), "bucket int, block int, fps binary, checks binary"
+        written: list[str] = []
+        for k in range(PARTS):
+            self.work.release()  # the shuffled texts, or the last range, aren't read again
+            own = f"{sent}/part={k}"
+            new = self.spark.read.schema(schema).parquet(own) if self.work.exists(own) else self.spark.createDataFrame([], schema)
+            merged = new.groupBy("bucket").cogroup(self._rows(k).groupBy("bucket")).applyInArrow(merge, schema)
+            merged.withColumn("known", F.col("block") >= 0).write.partitionBy("known").option("compression", "zstd").parquet(f"{path}/part={k}")
+            del new, merged
+            self.work.drop(own)
+            written += [p for p in (f"{path}/part={k}/known=false", f"{path}/part={k}/known=true") if self.work.exists(p)]
+        self.work.drop(sent)
+        self.work.release()
+        back_paths = [p for p in written if p.endswith("true")]
+        self._spent += back_paths
+        if len(back_paths) < len(written):
             old, self.runs = (self.runs, []) if full else ([], self.runs)
-            self.runs.append(f"{path}/known=false")
+            self.runs.append(path)
             for p in old:
-                self.work.drop(p)
-        known = self.spark.read.schema("bucket int, block int, fps binary, checks binary, known boolean").parquet(path).filter("known").select("block", "fps", "checks")
+                for k in range(PARTS):
+                    self.work.drop(f"{p}/part={k}/known=false")
+        known = self.spark.read.schema(schema).parquet(*back_paths) if back_paths else self.spark.createDataFrame([], schema)
+        known = known.select("block", "fps", "checks")
 
         def mark(key, table, back):
             seen, seen_checks = _joined(back["fps"].to_pylist(), back["checks"].to_pylist())
