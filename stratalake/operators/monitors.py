@@ -35,26 +35,26 @@ def judge(metric: float, history: Sequence[float], kind: str, params: dict | Non
         raise ValueError(f"unknown monitor kind {kind!r}; expected one of {', '.join(KINDS)}")
     limit = p.get("max_absolute")
     if limit is not None and metric > limit:
-        return "breach", f"{metric:g} exceeds absolute limit {limit:g}"
+        return "breach", f"{metric:g} is over the fixed limit of {limit:g}"
     if not history:
-        return "ok", "no baseline yet"
+        return "ok", "nothing to compare with yet"
     mid = statistics.median(history)
     if kind in ("row_count", "cardinality"):
         if mid <= 0:
-            return "ok", "baseline median is zero"
+            return "ok", "the usual value is zero"
         share = metric / mid
         status = "breach" if share < p.get("breach_ratio", 0.5) else "warn" if share < p.get("warn_ratio", 0.8) else "ok"
-        return status, f"{metric:g} is {share:.0%} of trailing median {mid:g}"
+        return status, f"{metric:g}, {share:.0%} of the usual {mid:g}"
     if kind == "duplicate_rate":
-        return ("ok" if metric == 0 else "breach"), f"{metric:g} duplicate key(s)"
+        return ("ok" if metric == 0 else "breach"), f"{metric:g} row(s) repeat a key"
     away = [abs(x - mid) for x in history]
     spread = statistics.median(away) or statistics.mean(away)
     if spread == 0:
         same = math.isclose(metric, mid, rel_tol=1e-9, abs_tol=1e-9)
-        return ("ok" if same else "breach"), f"{metric:g} {'matches' if same else 'differs from'} constant baseline {mid:g}"
+        return ("ok" if same else "breach"), f"{metric:g}, {'as' if same else 'but'} always {mid:g} before"
     z = abs(metric - mid) / (MAD_SCALE * spread)
     status = "breach" if z > p.get("breach_z", 4.0) else "warn" if z > p.get("warn_z", 3.0) else "ok"
-    return status, f"{metric:g} is {z:.1f} robust-z from median {mid:g}"
+    return status, f"{metric:g}, {z:.1f} robust deviations from the usual {mid:g}"
 
 
 def snapshot_added(details: Iterable[dict]) -> float:
