@@ -16,21 +16,27 @@ def z_score(c: Column, w: WindowSpec) -> Column:
     return ratio(c - F.avg(c).over(w), F.stddev_samp(c).over(w))
 
 
-def price_features(prices: DataFrame, key: str = "ticker", day: str = "trade_date", close: str = "close", volume: str = "volume") -> DataFrame:
+def _forward(w: WindowSpec, steps: int, price: str) -> Column:
+    return (ratio(F.lead(price, steps).over(w), F.col(price)) - 1).alias(f"fwd_ret_{steps}d")
+
+
+def price_features(prices: DataFrame, key: str = "ticker", day: str = "trade_date", close: str = "close", volume: str = "volume", ahead: int = 0, price: str = "adj_close") -> DataFrame:
     """Returns, their five lags, realised volatility, RSI (simple mean) and volume z-score.
 
-    Each step reads the last one's columns over one (key, day) window, so a single exchange and sort serve all.
+    Each step reads the last one's columns over one (key, day) window, so a single exchange and sort serve all.  With
+    ``ahead``, the forward return of ``price`` over so many rows comes from the same window; it is a target, not a feature.
     """
     w = Window.partitionBy(key).orderBy(day)
     w14, w21 = trailing(w, 14), trailing(w, 21)
     r = F.col("ret_1d")
-    base = prices.select(key, day, close, volume, (ratio(F.col(close), F.lag(close).over(w)) - 1).alias("ret_1d"))
+    target = [_forward(w, ahead, price)] if ahead else []
+    base = prices.select(key, day, close, volume, (ratio(F.col(close), F.lag(close).over(w)) - 1).alias("ret_1d"), *target)
     moves = base.withColumns({"_gain": F.greatest(r, F.lit(0.0)), "_loss": F.greatest(-r, F.lit(0.0))})
     return moves.select(
         key, day, close, "ret_1d", *(F.lag("ret_1d", k).over(w).alias(f"ret_lag_{k}") for k in range(1, 6)),
         (F.stddev_samp("ret_1d").over(w21) * F.sqrt(F.lit(252.0))).alias("realized_vol_21d"),
         (100 - ratio(F.lit(100.0), 1 + ratio(F.avg("_gain").over(w14), F.avg("_loss").over(w14)))).alias("rsi_14"),
-        z_score(F.col(volume), w21).alias("volume_z_21d"),
+        z_score(F.col(volume), w21).alias("volume_z_21d"), *([f"fwd_ret_{ahead}d"] if ahead else []),
     )
 
 
@@ -55,14 +61,15 @@ def spend_features(spend: DataFrame, key: str = "ticker", day: str = "spend_date
 def forward_return(prices: DataFrame, steps: int = 5, key: str = "ticker", day: str = "trade_date", price: str = "adj_close") -> DataFrame:
     """The target, and the only column that looks ahead: null for the last ``steps`` rows of each key."""
     w = Window.partitionBy(key).orderBy(day)
-    return prices.select(key, day, (ratio(F.lead(price, steps).over(w), F.col(price)) - 1).alias(f"fwd_ret_{steps}d"))
+    return prices.select(key, day, _forward(w, steps, price))
 
 
-def training_set(features: DataFrame, prices: DataFrame, spend: DataFrame) -> DataFrame:
-    """Features with their target; days without spend keep null spend features."""
-    target = forward_return(prices)
+def training_set(features: DataFrame, prices: DataFrame | None, spend: DataFrame) -> DataFrame:
+    """Features with their target; days without spend keep null spend features.  ``prices``: None if the features have it."""
     s = spend_features(spend).withColumnRenamed("spend_date", "trade_date")
-    return features.drop("close", "ret_1d").join(target, ["ticker", "trade_date"]).join(s, ["ticker", "trade_date"], "left")
+    rows = features.drop("close", "ret_1d")
+    rows = rows if prices is None else rows.join(forward_return(prices), ["ticker", "trade_date"])
+    return rows.join(s, ["ticker", "trade_date"], "left")
 
 
 def daily_spend(transactions: DataFrame, merchants: DataFrame) -> DataFrame:

@@ -51,9 +51,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 # -- stand-ins ---------------------------------------------------------------------------------------------------------
 
 
-def txns(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as conformed transactions: only the columns that marts read leave the scans."""
-    item = read(spark, sf, "lineitem")
+def txns(spark: SparkSession, sf: str, only: str = "true") -> DataFrame:
+    """Line items as conformed transactions: only the columns that marts read leave the scans.
+
+    ``only``: a filter in terms of the line items, for marts of one category; it reaches the scan.
+    """
+    item = read(spark, sf, "lineitem").filter(only)
     order = read(spark, sf, "orders").select("o_orderkey", "o_custkey")
     direction = F.when(F.col("l_returnflag") == "R", "DEBIT").otherwise("CREDIT")
     return item.join(order, item.l_orderkey == order.o_orderkey).select(
@@ -63,6 +66,11 @@ def txns(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def spend(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily spend mart; line items of status F are the expenses."""
+    return features.daily_spend(txns(spark, sf, "l_linestatus = 'F'"), brands(spark, sf))
+
+
 def brands(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("merchant_normalized"), F.col("p_brand").alias("ticker"))
 
@@ -108,7 +116,7 @@ rsql = lambda cols, p="", n=6: ", ".join(f"round({p}{c}, {n}) AS {c}" for c in c
 @query(f"WITH {SPEND} SELECT ticker, spend_date::VARCHAR AS spend_date, round(gross_spend, 4) AS gross_spend, txn_count, unique_accounts, round(avg_ticket, 4) AS avg_ticket, round(median_ticket, 4) AS median_ticket FROM spend")
 def k8_daily_merchant_spend(spark: SparkSession, sf: str) -> DataFrame:
     """A1-A6, J1, P3."""
-    return rounded(features.daily_spend(txns(spark, sf), brands(spark, sf)), 4)
+    return rounded(spend(spark, sf), 4)
 
 
 @query(f"WITH {PRICE} SELECT ticker, trade_date::VARCHAR AS trade_date, round(close, 9) AS close, {rsql(('ret_1d', *PRICE_COLS))} FROM px")
@@ -124,13 +132,12 @@ def k9_stock_features(spark: SparkSession, sf: str) -> DataFrame:
 )
 def k10_training_set(spark: SparkSession, sf: str) -> DataFrame:
     """W9-W14, P7, J2, J3."""
-    prices = bars(spark, sf)
-    return rounded(features.training_set(features.price_features(prices), prices, features.daily_spend(txns(spark, sf), brands(spark, sf))))
+    return rounded(features.training_set(features.price_features(bars(spark, sf), ahead=5), None, spend(spark, sf)))
 
 
 @query(f"WITH {SPEND}, {SPENDF} SELECT ticker, spend_date::VARCHAR AS spend_date, {rsql(SPEND_COLS)} FROM sf")
 def w9_w13_spend_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(features.spend_features(features.daily_spend(txns(spark, sf), brands(spark, sf))))
+    return rounded(features.spend_features(spend(spark, sf)))
 
 
 @query(f"WITH {BARS} SELECT ticker, trade_date::VARCHAR AS trade_date, round(lead(adj_close, 5) OVER ({_W}) / nullif(adj_close, 0) - 1, 6) AS fwd_ret_5d FROM bars")
@@ -188,11 +195,15 @@ def p13_j4_in_subquery(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "orders").join(some, "o_custkey", "left_semi").select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT event_id, substr(sha256(coalesce(user_id::VARCHAR, '') || '|' || coalesce(event_type, '')), 1, 16) AS row_key, 'events.parquet' AS source_file, sha256(coalesce(props, '')) AS payload_hash FROM events")
+@query("""SELECT event_id, substr(sha256(coalesce(user_id::VARCHAR, '') || '|' || coalesce(event_type, '')), 1, 16) AS row_key, 'events.parquet' AS source_file,
+  sha256('{"event_id":' || coalesce(event_id::VARCHAR, 'null') || ',"event_type":' || coalesce('"' || event_type || '"', 'null') || ',"user_id":' || coalesce(user_id::VARCHAR, 'null') || '}') AS payload_hash FROM events""")
 def p14_f10_f11_lineage_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "events").select(
-        "event_id", short_key(F.col("user_id"), F.col("event_type")).alias("row_key"), F.lit("events.parquet").alias("source_file"), F.sha2(F.coalesce("props", F.lit("")), 256).alias("payload_hash"),
-    )
+    """Records are stamped with the table they come from and the hash of their own columns."""
+    from .plans.bronze import stamp
+
+    table = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+\.parquet)(/|$)", 1)
+    stamped = stamp(read(spark, sf, "events").select("user_id", "event_type", "event_id", table.alias("_source_file")))
+    return stamped.select("event_id", short_key(F.col("user_id"), F.col("event_type")).alias("row_key"), F.col("_source_file").alias("source_file"), F.col("_payload_hash").alias("payload_hash"))
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = 7")
@@ -219,23 +230,12 @@ def j2_j3_two_key_joins(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CAL = """ends AS (SELECT min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders), days AS (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS period FROM ends),
-  n AS (SELECT o_orderdate::DATE AS period, count(*) AS n FROM orders WHERE o_custkey % 97 = 0 GROUP BY 1)"""
+  n AS (SELECT o_orderdate::DATE AS period, count(*) AS n FROM orders GROUP BY 1)"""
 
 
 @query(f"WITH {_CAL} SELECT period::VARCHAR AS period FROM days ANTI JOIN n USING (period)")
 def j5_f9_calendar_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    o = read(spark, sf, "orders")
-    ends = o.agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b")).first()
-    counts = arrival.period_counts(o.filter("o_custkey % 97 = 0"), "o_orderdate")
-    return arrival.missing(expected_periods(spark, "daily", ends["a"], ends["b"]), counts).select(F.col("period").cast("string").alias("period"))
-
-
-_WHOLE_CAL = _CAL.replace(" WHERE o_custkey % 97 = 0", "")
-
-
-@query(f"WITH {_WHOLE_CAL} SELECT period::VARCHAR AS period FROM days ANTI JOIN n USING (period)")
-def j5_f9_calendar_gaps_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """All orders.  ``j5_f9_calendar_gaps`` counts those of one customer in 97, as its SQL does, so that days are missing."""
+    """All orders; days that are missing are tested on a small table."""
     o = read(spark, sf, "orders")
     ends = o.agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b")).first()
     counts = arrival.period_counts(o, "o_orderdate")
@@ -291,16 +291,23 @@ def a14_a15_first_seen_last_write(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "events").groupBy(F.col("user_id").alias("finding_key")).agg(F.min(F.to_date("ts")).cast("string").alias("first_seen"), F.max_by("event_type", "event_id").alias("last_kind"))
 
 
+@query("SELECT run_at::VARCHAR AS run_at, user_id, event_id, event_type FROM (SELECT *, ts::DATE AS run_at, row_number() OVER (PARTITION BY ts::DATE, user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
+def a15_last_of_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Days are runs, users are findings: what was written last in each run."""
+    e = read(spark, sf, "events").select(F.to_date("ts").alias("run_at"), "user_id", "event_id", "event_type")
+    return report.last_of_run(e, "user_id", "event_id").withColumn("run_at", F.col("run_at").cast("string"))
+
+
 @query("SELECT c AS \"column\", v AS value FROM (SELECT c, v, row_number() OVER (PARTITION BY c ORDER BY v) AS rn FROM (SELECT DISTINCT 'lang' AS c, lang AS v FROM documents UNION SELECT DISTINCT 'source', source FROM documents) WHERE v IS NOT NULL) WHERE rn <= 201")
 def a16_d7_enum_values(spark: SparkSession, sf: str) -> DataFrame:
     return drift.enum_values(read(spark, sf, "documents"), ["lang", "source"])
 
 
-_PRED = "p AS (SELECT p_brand AS ticker, l_shipdate::DATE AS trade_date, avg(l_discount) - 0.05 AS y_true, avg(l_tax) - 0.04 AS y_pred FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) = 1995 GROUP BY 1, 2)"
+_PRED = "p AS (SELECT p_brand AS ticker, l_shipdate::DATE AS trade_date, avg(l_discount) - 0.05 AS y_true, avg(l_tax) - 0.04 AS y_pred FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
 
 
 def _predictions(spark: SparkSession, sf: str) -> DataFrame:
-    item, part = read(spark, sf, "lineitem").filter(F.year("l_shipdate") == 1995), read(spark, sf, "part").select("p_partkey", "p_brand")
+    item, part = read(spark, sf, "lineitem"), read(spark, sf, "part").select("p_partkey", "p_brand")
     joined = item.join(part, item.l_partkey == part.p_partkey).groupBy(F.col("p_brand").alias("ticker"), F.to_date("l_shipdate").alias("trade_date"))
     return joined.agg((F.avg("l_discount") - 0.05).alias("y_true"), (F.avg("l_tax") - 0.04).alias("y_pred"))
 
@@ -327,7 +334,7 @@ def a18_w15_x8_long_short_sharpe(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT round(avg((nullif(l_returnflag, 'N') IS NULL AND nullif(l_linestatus, 'O') IS NULL)::INT::DOUBLE), 8) AS share FROM lineitem")
 def a20_all_null_rows(spark: SparkSession, sf: str) -> DataFrame:
     rows = read(spark, sf, "lineitem").select(F.nullif(F.col("l_returnflag"), F.lit("N")).alias("a"), F.nullif(F.col("l_linestatus"), F.lit("O")).alias("b"))
-    return rows.agg(r(F.avg((F.col("a").isNull() & F.col("b").isNull()).cast("double")), 8).alias("share"))
+    return spark.createDataFrame([(round(forecast.sparse_share(rows, ("a", "b")), 8),)], "share double")
 
 
 # -- sorts, limits, sets, scalars -------------------------------------------------------------------------------------
@@ -439,7 +446,7 @@ def m1_m8_volume_monitor(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(newest["metric"], float(statistics.median(history)), status)], "metric double, baseline double, status string")
 
 
-_ARRIVAL = """WITH e AS (SELECT ts::DATE AS d, count(*) AS n FROM events WHERE user_id % 7 = 0 GROUP BY 1), w AS (SELECT greatest(max(d) - 30, min(d)) AS a, max(d) + 10 AS b, max(d) AS newest FROM e),
+_ARRIVAL = """WITH e AS (SELECT ts::DATE AS d, count(*) AS n FROM events GROUP BY 1), w AS (SELECT greatest(max(d) - 30, min(d)) AS a, max(d) + 10 AS b, max(d) AS newest FROM e),
       p AS (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS d FROM w), s AS (SELECT p.d, n FROM p LEFT JOIN e USING (d))
     SELECT 'arrival_lag' AS kind, 10.0::DOUBLE AS metric, 'breach' AS status UNION ALL SELECT 'arrival_gap', count(*) FILTER (n IS NULL)::DOUBLE, CASE WHEN count(*) FILTER (n IS NULL) > 0 THEN 'breach' ELSE 'ok' END FROM s
     UNION ALL SELECT 'arrival_partial', count(*) FILTER (n < 5)::DOUBLE, CASE WHEN count(*) FILTER (n < 5) > 0 THEN 'warn' ELSE 'ok' END FROM s"""
@@ -447,17 +454,7 @@ _ARRIVAL = """WITH e AS (SELECT ts::DATE AS d, count(*) AS n FROM events WHERE u
 
 @query(_ARRIVAL)
 def r1_r5_arrival(spark: SparkSession, sf: str) -> DataFrame:
-    from datetime import timedelta
-
-    e = read(spark, sf, "events").filter("user_id % 7 = 0").select(F.to_date("ts").alias("d"))
-    as_of = e.agg(F.max("d")).first()[0] + timedelta(10)
-    found = arrival.check_arrival(e, "events", "d", "daily", 3, 5, as_of)
-    return spark.createDataFrame([(x.kind, x.metric, x.status) for x in found], "kind string, metric double, status string")
-
-
-@query(_ARRIVAL.replace(" WHERE user_id % 7 = 0", ""))
-def r1_r5_arrival_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """All events.  ``r1_r5_arrival`` reads those of one user in seven, as its SQL does, so that days are missing and thin."""
+    """All events; days that are missing or thin are tested on a small table."""
     from datetime import timedelta
 
     e = read(spark, sf, "events").select(F.to_date("ts").alias("d"))
@@ -501,22 +498,32 @@ def d2_d9_enum_drift(spark: SparkSession, sf: str) -> DataFrame:
 )
 def x1_walk_forward_folds(spark: SparkSession, sf: str) -> DataFrame:
     n = bars(spark, sf).groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
-    size = F.floor((F.col("n") - 257) / 5)
-    f = n.filter(size >= 20).withColumn("size", size).withColumn("fold", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(4).cast("bigint"))))
-    start = 257 + F.col("fold") * F.col("size")
-    return f.select("ticker", "fold", (start - 5).alias("train_end"), start.alias("test_start"), F.when(F.col("fold") == 4, F.col("n")).otherwise(start + F.col("size")).alias("test_end"))
+    found = []
+    for ticker, rows in n.collect():  # one number for each brand
+        try:
+            found += [(ticker, f.index, f.train_end, f.test_start, f.test_end) for f in forecast.folds(rows)]
+        except ValueError:  # too short a series
+            continue
+    return spark.createDataFrame(found, "ticker string, fold bigint, train_end bigint, test_start bigint, test_end bigint")
 
 
 # -- the store, the pipeline, streams: rows only ----------------------------------------------------------------------
 
 
-def _lake(spark: SparkSession):
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
     import tempfile
+    import uuid
 
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}" if shared else tempfile.mkdtemp(prefix=f"{name}-")
+
+
+def _lake(spark: SparkSession):
     from .session import prepare
     from .sources.store import Lakehouse
 
-    return Lakehouse(prepare(spark), tempfile.mkdtemp(prefix="stratalake-wh-"))
+    return Lakehouse(prepare(spark), _folder(spark, "warehouse"))
 
 
 def _order_table(spark: SparkSession, sf: str):
@@ -601,22 +608,26 @@ def d11_q1_agent_report(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def x2_x6_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Walk-forward predictions of the brands with a long enough series."""
-    prices = bars(spark, sf)
-    return forecast.predict(features.training_set(features.price_features(prices), prices, features.daily_spend(txns(spark, sf), brands(spark, sf))))
+    return forecast.predict(features.training_set(features.price_features(bars(spark, sf), ahead=5), None, spend(spark, sf)))
 
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts)::VARCHAR AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def streaming_windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Structured Streaming over the events: tumbling windows with a watermark, run to the end of what is there."""
-    import tempfile
-    import uuid
+    """Structured Streaming over the events: tumbling windows with a watermark, run to the end of what is there.
 
+    Each micro-batch writes the windows that it changed into a folder of its own, again if it is repeated; the last one counts.
+    """
     from .streaming.ingest import windowed_counts
 
-    schema = read(spark, sf, "events").schema
-    name = f"windowed_{uuid.uuid4().hex[:8]}"
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
-    q = windowed_counts(stream, "ts", "1 day", "1 day", "event_type").writeStream.outputMode("complete").format("memory").queryName(name)
-    q = q.option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start()
+    folder = _folder(spark, "windows")
+    stream = spark.readStream.schema(read(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    counts = windowed_counts(stream, "ts", "1 day", "1 day", "event_type")
+
+    def keep(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/counts/batch={batch_id}")
+
+    q = counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
+    written = spark.read.schema(counts.schema.add("batch", "long")).parquet(f"{folder}/counts")
+    last = written.groupBy("window_start", "event_type").agg(F.max_by("n", "batch").alias("n"))
+    return last.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
