@@ -45,15 +45,15 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 @contextmanager
-def single_rows(spark: SparkSession):
-    """Batches of one row, for tables whose rows are whole blocks; what is run inside has to be eager."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, 1)
+def byte_batches(spark: SparkSession, most: int = 8 << 20):
+    """Arrow batches that end at ``most`` bytes too, for tables whose rows may be whole blocks; what is run inside has to be eager."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, most)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 class Scratch:

@@ -6,43 +6,48 @@ A string is *repeated* if the same ``length`` bytes start at another place, in t
    equal strings have equal anchors at equal places.  A string whose anchor occurs once in the corpus occurs once itself;
    what is left are *units*: stretches of starts, cut at places that depend on their bytes alone, with the bytes their
    strings reach.
-2. **Collapse.**  Equal units (128-bit hashes) are counted.  One that occurs twice has repeated strings only, and goes on
+2. **Collapse.**  Equal units (128 bits of BLAKE2b) are counted.  One that occurs twice has repeated strings only, and goes on
    once, as a partner for others: a group of a thousand copies costs as much as one.  Anchors are then counted again among
    what is left.
 3. **Sampled suffixes.**  The sample of the difference cover modulo 3 are the places p with p mod 3 in {1, 2}.  The triple of
-   22-byte symbols that starts at each (66 bytes) is sorted over all tasks by ranges of its 64-bit key and named by its
-   order.  Names recurse once, as the triple of names at p, p+66 and p+132 (198 bytes); longer prefixes can't matter.  A
-   name that occurs once can't be in a repeated string and leaves the recursion.  The order of names is that of keys, not
-   of the alphabet: neighbours are all that is needed.
+   22-byte symbols that starts at each (66 bytes) is sorted over all tasks by ranges of its 64-bit key.  A key is its own
+   name: it has the order and the equalities of its rank, so that no ranks have to be kept or sent back.  Names recurse
+   once, as the triple of names at p, p+66 and p+132 (198 bytes); longer prefixes can't matter.  A name that occurs once
+   can't be in a repeated string and leaves the recursion: between rounds a block keeps its bytes and one bit for each
+   sampled place.  The order of names is that of keys, not of the alphabet: neighbours are all that is needed.
 4. **Merge.**  Two suffixes are compared at the first offset (0, 1 or 2) where both are sampled, by the bytes before it, the
    name there, and the bytes behind it up to ``length``.  After the sort, neighbours with equal keys share ``length`` bytes.
 
 Every exchange has the same shape: a block of documents sends its distinct keys, sorted, to ranges of the key space; a range
 merges what all blocks sent and answers each block in the order of its keys.  A key is sent once by a block however often
-it occurs there, so no range holds more of one key than there are blocks.
+it occurs there, so no range holds more of one key than there are blocks.  Messages number blocks times ranges, which is
+the square of the input; so a key is sent as 64 bits (only units have 128), ranges hold a million of them, an answer is a bit
+or two for each key, and messages go to Python many at a time.
 """
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import pickle
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import kernels as K
-from .store import Scratch, single_rows
-from .substring import block_bounds, pack, unpack
+from .store import Scratch, byte_batches
+from .substring import block_bounds
 
 LENGTH = 200
 GRAM = 144
 BLOCK_BYTES = 2 << 20
-RANGE_KEYS = 1 << 19
+RANGE_KEYS = 1 << 20
 CUT_BITS = 5  # one of 32 repeated anchors ends a unit
-_A, _B = K.Rolling(101), K.Rolling(103)
-REPLY = "bucket int, block int, names binary, flags binary"
-SENT = "bucket int, block int, k1 binary, k2 binary, k3 binary, many binary"
+_A = K.Rolling(101)
+REPLY = "bucket int, block int, n int, flags binary"
+SENT = "bucket int, block int, k1 binary, k2 binary, many binary"
 REPEATED, OWNER = 1, 2
 
 
@@ -62,7 +67,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     depends on the string's bytes alone, so equal strings have equal anchors at equal offsets.
     """
     n = len(data)
-    own = np.full(n, -1, np.int64)
+    own = np.full(n, -1, np.int32)
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), own
     p = _A.prefix(data)
@@ -84,73 +89,102 @@ def _ordered(table: pa.Table) -> pa.RecordBatch:
     return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], table.schema)
 
 
+def _tidy() -> None:
+    """Give freed memory back to the system: idle workers would keep what their largest group took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes: the upper planes of small ones vanish when compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _unplanes(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(stable order, whether a row differs from the one before)."""
-    plain = not keys[:, 1:].any()
-    by = np.argsort(keys[:, 0], kind="stable") if plain else np.lexsort(keys.T[::-1])
+    """(order, whether a row differs from the one before); the order of rows of two numbers is stable."""
+    by = np.argsort(keys) if keys.ndim == 1 else np.lexsort(keys.T[::-1])
     new = np.ones(len(keys), bool)
-    s = keys[by, 0] if plain else keys[by]
-    new[1:] = s[1:] != s[:-1] if plain else (s[1:] != s[:-1]).any(1)
+    s = keys[by]
+    new[1:] = s[1:] != s[:-1] if keys.ndim == 1 else (s[1:] != s[:-1]).any(1)
     return by, new
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct rows in order, whether each occurs more than once, place of each row among them)."""
+    """(distinct keys in order, whether each occurs more than once, place of each key among them)."""
     if not len(keys):
-        return keys, np.zeros(0, bool), np.zeros(0, np.int64)
+        return keys, np.zeros(0, bool), np.zeros(0, np.int32)
     by, new = _sorted(keys)
-    s = keys[by]
-    group = np.cumsum(new) - 1
-    inverse = np.empty(len(s), np.int64)
+    group = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    inverse = np.empty(len(keys), np.int32)
     inverse[by] = group
-    return s[new], np.bincount(group) > 1, inverse
+    return keys[by[new]], np.bincount(group) > 1, inverse
 
 
 def _send(block: int, keys: np.ndarray, many: np.ndarray, cuts: np.ndarray) -> pa.Table:
     """Distinct keys by ranges of their first part; ``cuts`` are the first values of all ranges but the first."""
-    ends = np.concatenate([[0], np.searchsorted(keys[:, 0], cuts, "left"), [len(keys)]]) if len(keys) else np.zeros(len(cuts) + 2, np.int64)
+    first = keys if keys.ndim == 1 else keys[:, 0]
+    ends = np.concatenate([[0], np.searchsorted(first, cuts, "left"), [len(keys)]])
     full = np.flatnonzero(np.diff(ends))
-    rows = [(int(b), slice(ends[b], ends[b + 1])) for b in full]
-    planes = lambda x: np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-    return pa.table({
-        "bucket": pa.array([b for b, _ in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "k1": K.binaries([pack(keys[s, 0]) for _, s in rows]),
-        "k2": K.binaries([planes(keys[s, 1].copy()) for _, s in rows]), "k3": K.binaries([planes(keys[s, 2].copy()) for _, s in rows]), "many": K.binaries([np.packbits(many[s]).tobytes() for _, s in rows]),
-    })
-
-
-def _merge(key, table):
-    """Names by order and flags for each block's keys: REPEATED if the corpus has the key twice, OWNER for its first block."""
-    bucket = key[0].as_py()
-    order = np.argsort(table["block"].to_numpy(), kind="stable")
-    blocks = table["block"].to_numpy()[order]
-    plain = lambda b: np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64)
-    parts, many = [], []
-    for i in order.tolist():
-        k1 = unpack(table["k1"][i].as_py())
-        parts.append(np.stack([k1, plain(table["k2"][i].as_py()), plain(table["k3"][i].as_py())], 1))
-        many.append(np.unpackbits(np.frombuffer(table["many"][i].as_py(), np.uint8))[: len(k1)].astype(bool))
-    sizes = [len(p) for p in parts]
-    keys, more = np.concatenate(parts), np.concatenate(many)
-    del parts
-    by, new = _sorted(keys)  # equal keys stay in the order of their blocks
-    group = np.cumsum(new) - 1
-    count = np.bincount(group, 1 + more[by])
-    names, flags = np.empty(len(keys), np.uint64), np.empty(len(keys), np.uint8)
-    names[by] = (np.uint64(bucket) << np.uint64(32)) + group.astype(np.uint64) + np.uint64(1)
-    flags[by] = (count[group] > 1) * REPEATED + new * OWNER
-    ends = np.cumsum([0, *sizes])
+    rows = [slice(a, b) for a, b in zip(ends[full].tolist(), ends[full + 1].tolist())]
+    steps = np.diff(first, prepend=np.uint64(0))
+    steps[ends[full]] = first[ends[full]]
+    more = [b""] * len(rows) if keys.ndim == 1 else [_planes(np.ascontiguousarray(keys[s, 1])) for s in rows]
     return pa.table({
-        "bucket": pa.array([bucket] * len(sizes), pa.int32()), "block": pa.array(blocks, pa.int32()),
-        "names": K.binaries([pack(names[a:b]) for a, b in zip(ends[:-1], ends[1:])]), "flags": K.binaries([flags[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]),
+        "bucket": pa.array(full.astype(np.int32)), "block": pa.array(np.full(len(rows), block, np.int32)),
+        "k1": K.binaries([_planes(steps[s]) for s in rows]), "k2": K.binaries(more), "many": K.binaries([np.packbits(many[s]).tobytes() for s in rows]),
     })
 
 
-def _reply(back: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(names, flags) in the order in which the block sent its keys."""
-    order = np.argsort(back["bucket"].to_numpy(), kind="stable").tolist()
-    names = [unpack(back["names"][i].as_py()) for i in order]
-    flags = [np.frombuffer(back["flags"][i].as_py(), np.uint8) for i in order]
-    return (np.concatenate(names), np.concatenate(flags)) if order else (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+def _merge(owned: bool = False) -> Callable:
+    """Answers each block's keys: whether the corpus has the key twice; ``owned``, for keys of two numbers: whether the block
+    is the first that has it."""
+
+    def run(key, table):
+        _tidy()
+        bucket = key[0].as_py()
+        order = np.argsort(table["block"].to_numpy(), kind="stable")
+        blocks = table["block"].to_numpy()[order]
+        parts, many = [], []
+        for i in order.tolist():
+            k1, k2 = np.cumsum(_unplanes(table["k1"][i].as_py(), "<u8"), dtype=np.uint64), table["k2"][i].as_py()
+            parts.append(np.stack([k1, _unplanes(k2, "<u8")], 1) if k2 else k1)
+            many.append(np.unpackbits(np.frombuffer(table["many"][i].as_py(), np.uint8))[: len(k1)].view(bool))
+        ends = np.cumsum([0, *map(len, parts)]).tolist()
+        keys, more = np.concatenate(parts), np.concatenate(many)
+        del parts, many
+        by, new = _sorted(keys)  # equal keys of two numbers stay in the order of their blocks
+        del keys
+        group = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        twice = np.bincount(group) > 1
+        twice[group[more[by]]] = True
+        flags = np.empty(len(by), np.uint8)
+        flags[by] = twice[group] * np.uint8(REPEATED) + (new * np.uint8(OWNER) if owned else np.uint8(0))
+        del by, new, group
+        spans = list(zip(ends[:-1], ends[1:]))
+        bits = lambda x: np.packbits(x & REPEATED > 0).tobytes() + (np.packbits(x & OWNER > 0).tobytes() if owned else b"")
+        return pa.table({
+            "bucket": pa.array([bucket] * len(spans), pa.int32()), "block": pa.array(blocks, pa.int32()), "n": pa.array([b - a for a, b in spans], pa.int32()),
+            "flags": K.binaries([bits(flags[a:b]) for a, b in spans]),
+        })
+
+    return run
+
+
+def _reply(back: pa.Table) -> np.ndarray:
+    """Flags in the order in which the block sent its keys."""
+    flags = [np.zeros(0, np.uint8)]
+    for i in np.argsort(back["bucket"].to_numpy(), kind="stable").tolist():
+        n, bits = back["n"][i].as_py(), np.frombuffer(back["flags"][i].as_py(), np.uint8)
+        size = -(-n // 8)
+        flag = np.unpackbits(bits[:size])[:n] * np.uint8(REPEATED)
+        flags.append(flag + np.unpackbits(bits[size:])[:n] * np.uint8(OWNER) if len(bits) > size else flag)
+    return np.concatenate(flags)
 
 
 def _even(ranges: int) -> np.ndarray:
@@ -158,11 +192,6 @@ def _even(ranges: int) -> np.ndarray:
     return np.array([k * (2**64 // ranges) for k in range(1, ranges)], np.uint64)
 
 
-def _hash_keys(*parts: np.ndarray) -> np.ndarray:
-    zero = np.zeros(len(parts[0]), np.uint64)
-    return np.stack([*parts, *[zero] * (3 - len(parts))], 1)
-
-
 # -- what a block does -------------------------------------------------------------------------------------------------
 
 
@@ -197,41 +226,73 @@ def _one_key(*parts: np.ndarray) -> np.ndarray:
     x = np.zeros(len(parts[0]), np.uint64)
     for p in parts:
         x = K.mix(x * np.uint64(0x9E3779B97F4A7C15) + p + np.uint64(1))
-    return _hash_keys(x)
-
-
-def _triples(state: dict, level: int) -> tuple[np.ndarray, np.ndarray]:
+    return x
+
+
+def _chunks(sizes: np.ndarray, most: int = K.PIECE_BYTES) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(sizes, first byte, last + 1) of fragments in groups of about ``most`` bytes, so that kernels need little memory."""
+    ends, i = np.cumsum(sizes), 0
+    while i < len(sizes):
+        a = int(ends[i] - sizes[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + most, "right")))
+        yield sizes[i:j], a, int(ends[j - 1])
+        i = j
+
+
+def _chunk_anchors(data: np.ndarray, sizes: np.ndarray, length: int) -> Iterator[tuple]:
+    """(first byte, offsets, places, fingerprints, starts' anchors) of fragments in groups."""
+    for own, a, b in _chunks(sizes):
+        offsets = np.concatenate([[0], np.cumsum(own)])
+        yield a, offsets, *anchors(data[a:b], offsets, length)
+
+
+def _sampled(state: dict) -> Iterator[tuple]:
+    """(sizes, first byte, last + 1, places, keys, names) of fragments in groups: the sampled places that may still be part of
+    a repeated string, their keys, and the names of all bytes (0: none) on the level before, or on the last one."""
+    levels = [np.unpackbits(x).view(bool) for x in state["repeated"]]
+    done = [0] * len(levels)
+    for sizes, a, b in _chunks(state["sizes"]):
+        x, ends, names = np.arange(b - a), _frag_ends(sizes), None
+        sample = np.flatnonzero((x - ends + np.repeat(sizes, sizes)) % 3 != 0)
+        at = sample[sample + TRIPLE <= ends[sample]]
+        # the three symbols of a place lie side by side, so their tuple is the run of bytes
+        keys = _A.ranges(_A.prefix(state["data"][a:b]), at, at + TRIPLE)
+        for level, repeated in enumerate(levels):
+            more = repeated[done[level] : done[level] + len(at)]
+            done[level] += len(at)
+            names = np.zeros(b - a + 3, np.uint64)
+            names[at[more]] = np.maximum(keys[more], np.uint64(1))
+            if level == 0:
+                at = sample[sample + COVERS <= ends[sample]]
+                at = at[(names[at] > 0) & (names[at + TRIPLE] > 0) & (names[at + 2 * TRIPLE] > 0)]
+                keys = _one_key(names[at], names[at + TRIPLE], names[at + 2 * TRIPLE])
+        yield sizes, a, b, at, keys, names
+
+
+def _triples(state: dict) -> tuple[np.ndarray, np.ndarray]:
     """(keys, places) of the sampled places that may still be part of a repeated string."""
-    data, sizes = state["data"], state["sizes"]
-    n = len(data)
-    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    covers = (TRIPLE, COVERS)[level]
-    at = np.flatnonzero(((np.arange(n) - start) % 3 != 0) & (np.arange(n) + covers <= _frag_ends(sizes)))
-    if level == 0:  # the three symbols of a place lie side by side, so their tuple is the run of bytes
-        return _hash_keys(_A.ranges(_A.prefix(data), at, at + TRIPLE)), at
-    names = np.zeros(n, np.uint64)
-    names[state["at"]] = state["names"]
-    at = at[(names[at] > 0) & (names[at + TRIPLE] > 0) & (names[at + 2 * TRIPLE] > 0)]
-    return _one_key(names[at], names[at + TRIPLE], names[at + 2 * TRIPLE]), at
+    keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for _, a, _, at, own, _ in _sampled(state):
+        keys.append(own)
+        places.append((at + a).astype(np.int32))
+    return np.concatenate(keys), np.concatenate(places)
 
 
 def _final(state: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, starts): up to two keys for a start, compared where it and its partner are both sampled."""
-    data, sizes = state["data"], state["sizes"]
-    n = len(data)
-    names = np.zeros(n + 3, np.uint64)
-    names[state["at"]] = state["names"]
-    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    s = np.flatnonzero(np.arange(n) + length <= _frag_ends(sizes))
-    rest, keys, who = (s - start[s]) % 3, [], []
-    for ahead, classes in ((0, (1, 2)), (1, (0, 1)), (2, (0, 2))):
-        x = s[np.isin(rest, classes)]
-        x = x[names[x + ahead] > 0]
-        other = np.full(len(x), ahead + 1, np.uint64)
-        for k in [*range(ahead), *range(ahead + COVERS, length)]:
-            other = (other << np.uint64(8)) | data[x + k].astype(np.uint64)
-        keys.append(_one_key(names[x + ahead], other))
-        who.append(x)
+    keys, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for sizes, a, b, _, _, names in _sampled(state):
+        data, ends = state["data"][a:b], _frag_ends(sizes)
+        s = np.flatnonzero(np.arange(b - a) + length <= ends)
+        rest = (s - (ends - np.repeat(sizes, sizes))[s]) % 3
+        for ahead, classes in ((0, (1, 2)), (1, (0, 1)), (2, (0, 2))):
+            x = s[np.isin(rest, classes)]
+            x = x[names[x + ahead] > 0]
+            other = np.full(len(x), ahead + 1, np.uint64)
+            for k in [*range(ahead), *range(ahead + COVERS, length)]:
+                other = (other << np.uint64(8)) | data[x + k].astype(np.uint64)
+            keys.append(_one_key(names[x + ahead], other))
+            who.append((x + a).astype(np.int32))
     return np.concatenate(keys), np.concatenate(who)
 
 
@@ -241,32 +302,33 @@ class SuffixSort:
     def __init__(self, spark: SparkSession):
         self.spark, self.work = spark, Scratch(spark, "suffix")
 
-    def exchange(self, states: DataFrame, keys: Callable[[dict], tuple[np.ndarray, np.ndarray]], apply: Callable[[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict], total: int, name: str) -> DataFrame:
-        """Send ``keys(state)``, merge, and store ``apply(state, keys, places, names, flags)``."""
-        with single_rows(self.spark):
-            return self._exchange(states, keys, apply, total, name)
+    def exchange(self, states: DataFrame, keys: Callable[[dict], tuple[np.ndarray, np.ndarray]], apply: Callable[[dict, np.ndarray, np.ndarray], dict], total: int, name: str, owned: bool = False) -> DataFrame:
+        """Send ``keys(state)``, merge, and store ``apply(state, places, flags)``; see ``_merge`` for ``owned``."""
+        with byte_batches(self.spark):
+            return self._exchange(states, keys, apply, total, name, owned)
 
-    def _exchange(self, states, keys, apply, total, name) -> DataFrame:
+    def _exchange(self, states, keys, apply, total, name, owned) -> DataFrame:
         cuts = _even(max(1, -(-total // RANGE_KEYS)))
 
         def send(batches):
             for batch in batches:
                 for block, p in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    _tidy()
                     k, many, _ = _distinct(keys(pickle.loads(p.as_py()))[0])
                     for b in _send(block, k, many, cuts).combine_chunks().to_batches():
                         yield b
 
-        merged = states.select("block", "payload").mapInArrow(send, SENT).groupBy("bucket").applyInArrow(_merge, REPLY)
+        merged = states.select("block", "payload").mapInArrow(send, SENT).groupBy("bucket").applyInArrow(_merge(owned), REPLY)
         back = self.work.keep(merged, f"{name}_reply")
 
         def receive(key, table, replies):
+            _tidy()
             out = []
             for block, p in zip(table["block"].to_pylist(), table["payload"]):
                 state = pickle.loads(p.as_py())
                 k, at = keys(state)
                 _, _, inverse = _distinct(k)
-                names, flags = _reply(replies)
-                out.append((block, apply(state, k, at, names[inverse], flags[inverse])))
+                out.append((block, apply(state, at, _reply(replies)[inverse])))
             return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "n": pa.array([s["n"] for _, s in out], pa.int64()), "payload": K.binaries([pickle.dumps(s, 5) for _, s in out])})
 
         found = states.select("block", "payload").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(receive, "block int, n long, payload binary")
@@ -304,43 +366,46 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", id
     cuts = _even(max(1, -(-size // 25 // RANGE_KEYS)))
 
     def send_anchors(key, table):
+        _tidy()
         parts = [anchors(data, offsets, length)[1] for _, data, offsets in K.pieces(_ordered(table), "text")]
-        k, many, _ = _distinct(_hash_keys(np.concatenate([np.zeros(0, np.uint64), *parts])))
+        k, many, _ = _distinct(np.concatenate([np.zeros(0, np.uint64), *parts]))
         return _send(key[0].as_py(), k, many, cuts)
 
-    back = work.keep(dealt.groupBy("block").applyInArrow(send_anchors, SENT).groupBy("bucket").applyInArrow(_merge, REPLY), "anchors")
+    with byte_batches(spark):
+        back = work.keep(dealt.groupBy("block").applyInArrow(send_anchors, SENT).groupBy("bucket").applyInArrow(_merge(), REPLY), "anchors")
     work.release()
 
     def find_units(key, table, replies):
+        _tidy()
         found = [(data, offsets, *anchors(data, offsets, length)) for _, data, offsets in K.pieces(_ordered(table), "text")]
-        fps = np.concatenate([np.zeros(0, np.uint64), *(f[3] for f in found)])
-        _, _, inverse = _distinct(_hash_keys(fps))
-        repeated = (_reply(replies)[1][inverse] & REPEATED) > 0
+        _, _, inverse = _distinct(np.concatenate([np.zeros(0, np.uint64), *(f[3] for f in found)]))
+        repeated = (_reply(replies)[inverse] & REPEATED) > 0
         done, docs_done = 0, 0
-        doc, begin, sizes, h1, h2, bytes_ = [], [], [], [], [], []
+        doc, begin, sizes, digests, bytes_ = [], [], [], [], []
         for data, offsets, place, own, which in found:
             a, b = _units(offsets, place, own, which, repeated[done : done + len(own)])
             done += len(own)
             if len(a):
                 e = b + length - 1
-                h1.append(_A.ranges(_A.prefix(data), a, e))
-                h2.append(_B.ranges(_B.prefix(data), a, e))
                 d = np.searchsorted(offsets, a, "right") - 1
                 doc.append(d + docs_done)
                 begin.append(a - offsets[d])
                 sizes.append(e - a)
                 raw = data.tobytes()
-                bytes_ += [raw[i:j] for i, j in zip(a.tolist(), e.tolist())]
+                units_ = [raw[i:j] for i, j in zip(a.tolist(), e.tolist())]
+                digests += [hashlib.blake2b(x, digest_size=16).digest() for x in units_]
+                bytes_ += units_
             docs_done += len(offsets) - 1
-        cat = lambda x, kind: np.concatenate([np.zeros(0, kind), *x])
-        keys = _hash_keys(cat(h1, np.uint64), cat(h2, np.uint64))
+        cat = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int32)
+        keys = np.frombuffer(b"".join(digests), "<u8").astype(np.uint64).reshape(-1, 2)
         distinct, twice, inverse = _distinct(keys)
         one = np.zeros(len(distinct), np.int64)
         one[inverse[::-1]] = np.arange(len(keys))[::-1]  # the first unit of each kind
-        state = {"doc": cat(doc, np.int64), "begin": cat(begin, np.int64), "size": cat(sizes, np.int64), "kind": inverse, "keys": distinct, "twice": twice, "bytes": b"".join(bytes_[i] for i in one.tolist()), "kind_size": cat(sizes, np.int64)[one]}
+        state = {"doc": cat(doc), "begin": cat(begin), "size": cat(sizes), "kind": inverse, "keys": distinct, "twice": twice, "bytes": b"".join(bytes_[i] for i in one.tolist()), "kind_size": cat(sizes)[one]}
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(distinct)], pa.int64()), "payload": K.binaries([pickle.dumps(state, 5)])})
 
-    units = work.keep(dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(find_units, "block int, n long, payload binary"), "units")
+    with byte_batches(spark):
+        units = work.keep(dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(find_units, "block int, n long, payload binary"), "units")
     work.discard(back)
     work.release()
     n_units = units.agg(F.sum("n")).first()[0] or 0
@@ -350,7 +415,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", id
         again = np.flatnonzero(state["twice"])
         return np.concatenate([k, k[again]]), np.concatenate([np.arange(len(k)), again])
 
-    def own_units(state, keys, at, names, flags):
+    def own_units(state, at, flags):
         n = len(state["keys"])
         shared, owner = (flags[:n] & REPEATED) > 0, (flags[:n] & OWNER) > 0
         ends = np.cumsum(state["kind_size"])
@@ -359,36 +424,38 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", id
         out = {k: state[k] for k in ("doc", "begin", "size", "kind")}
         return out | {"shared": shared, "kept_kind": keep, "data": np.frombuffer(data, np.uint8), "sizes": state["kind_size"][keep], "n": len(data)}
 
-    states = sort.exchange(units, unit_keys, own_units, n_units, "owned")
+    states = sort.exchange(units, unit_keys, own_units, n_units, "owned", owned=True)
 
     def left_anchors(state):  # of the units that are left, each once
-        ends = np.concatenate([[0], np.cumsum(state["sizes"])])
-        _, fps, _ = anchors(state["data"], ends, length)
-        return _hash_keys(fps), np.arange(len(fps))
+        fps = np.concatenate([np.zeros(0, np.uint64), *(f[3] for f in _chunk_anchors(state["data"], state["sizes"], length))])
+        return fps, np.arange(len(fps), dtype=np.int32)
 
-    def narrow(state, keys, at, names, flags):
+    def narrow(state, at, flags):
         """Only stretches whose anchors occur in another unit, or again in their own, can hold strings to find."""
-        sizes, data = state["sizes"], state["data"]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        place, fps, own = anchors(data, ends, length)
-        a, b = _units(ends, place, fps, own, (flags & REPEATED) > 0, cut=False)
-        raw = data.tobytes()
+        sizes, raw, done = state["sizes"], state["data"].tobytes(), 0
+        first, last = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for base, offsets, place, fps, own in _chunk_anchors(state["data"], sizes, length):
+            a, b = _units(offsets, place, fps, own, (flags[done : done + len(fps)] & REPEATED) > 0, cut=False)
+            done += len(fps)
+            first.append(a + base)
+            last.append(b + base + length - 1)
+        a, e = np.concatenate(first), np.concatenate(last)
         out = {k: state[k] for k in ("doc", "begin", "size", "kind", "shared", "kept_kind")}
-        new = b"".join(raw[i:j] for i, j in zip(a.tolist(), (b + length - 1).tolist()))
-        return out | {"unit_sizes": sizes, "from": a, "data": np.frombuffer(new, np.uint8), "sizes": b + length - 1 - a, "n": len(new)}
+        new = b"".join(raw[i:j] for i, j in zip(a.tolist(), e.tolist()))
+        return out | {"repeated": [], "unit_sizes": sizes, "from": a.astype(np.int32), "data": np.frombuffer(new, np.uint8), "sizes": (e - a).astype(np.int32), "n": len(new)}
 
     states = sort.exchange(states, left_anchors, narrow, (states.agg(F.sum("n")).first()[0] or 0) // 25, "narrowed")
     for level in (0, 1):
         total = states.agg(F.sum("n")).first()[0] or 0
 
-        def name(state, keys, at, names, flags):
+        def name(state, at, flags):
             more = (flags & REPEATED) > 0
-            return state | {"at": at[more].astype(np.int32), "names": names[more], "n": int(more.sum())}
+            return state | {"repeated": [*state["repeated"], np.packbits(more)], "n": int(more.sum())}
 
-        states = sort.exchange(states, lambda s, level=level: _triples(s, level), name, total, f"names{level}")
+        states = sort.exchange(states, _triples, name, total * 2 // 3 if level == 0 else total, f"names{level}")
     total = states.agg(F.sum("n")).first()[0] or 0
 
-    def settle(state, keys, starts, names, flags):
+    def settle(state, starts, flags):
         hit = np.zeros(int(state["unit_sizes"].sum()), bool)
         found = starts[(flags & REPEATED) > 0]
         ends = np.cumsum(state["sizes"])
@@ -397,9 +464,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", id
             hit[state["from"][part] + found - (ends - state["sizes"])[part]] = True
         return {k: state[k] for k in ("doc", "begin", "size", "kind", "shared", "kept_kind")} | {"sizes": state["unit_sizes"], "hit": np.packbits(hit), "n": 0}
 
-    states = sort.exchange(states, lambda s: _final(s, length), settle, total, "settled")
+    states = sort.exchange(states, lambda s: _final(s, length), settle, 2 * total, "settled")
 
     def mark(key, table, settled):
+        _tidy()
         batch = _ordered(table)
         spans: dict[int, list[tuple[int, int]]] = {}
         for p in settled["payload"]:
