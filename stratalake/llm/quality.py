@@ -9,6 +9,7 @@ the nearest vote with their similarity as weight.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -71,7 +72,10 @@ class QualityModel:
 
     def project(self, counts: np.ndarray) -> np.ndarray:
         total = counts.sum(1, keepdims=True)
-        x = np.sqrt(counts / np.maximum(total, 1)) * self.idf
+        return self.place(np.sqrt(counts / np.maximum(total, 1)) * self.idf)
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """Unit vectors of weighted terms."""
         z = x @ self.basis
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
@@ -88,11 +92,13 @@ class QualityModel:
         return out
 
 
-def fit(counts: np.ndarray, y: np.ndarray, dim: int = DIM, neighbours: int = NEIGHBOURS) -> QualityModel:
+def fit(counts: np.ndarray, y: np.ndarray, dim: int = DIM, neighbours: int = NEIGHBOURS, spend: bool = False) -> QualityModel:
+    """``spend``: the weights take the place of the counts, so that a driver holds one such table only."""
     if not len(y):
         return QualityModel(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), 0.5)
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
-    x = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1)) * idf
+    idf = np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))).astype(np.float32) + 1
+    x = np.divide(counts, np.maximum(counts.sum(1, keepdims=True), 1), out=counts if spend else None)
+    np.multiply(np.sqrt(x, out=x), idf, out=x)
     # randomised range finder with two power iterations, then a small exact decomposition
     dim = min(dim, *x.shape)
     q = np.linalg.qr(x @ np.random.Generator(np.random.PCG64(5)).standard_normal((x.shape[1], dim + 16)).astype(np.float32))[0]
@@ -102,7 +108,7 @@ def fit(counts: np.ndarray, y: np.ndarray, dim: int = DIM, neighbours: int = NEI
     share = np.array([max(1, int((y == v).sum())) for v in (0, 1)]) / len(y)
     weights = 1 / np.sqrt(share[y.astype(int)])  # half-way to balanced classes
     model = QualityModel(idf, basis, np.zeros((0, 1)), y.astype(float), weights, float((y * weights).sum() / weights.sum()), neighbours)
-    return QualityModel(idf, basis, model.project(counts), model.labels, weights, model.base, neighbours)
+    return QualityModel(idf, basis, model.place(x), model.labels, weights, model.base, neighbours)
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, most: int = TRAIN, text: str = "text", id: str = "doc_id") -> QualityModel:
@@ -112,15 +118,17 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in K.pieces(batch, "text"):
-                c = term_counts(data, offsets)
-                at = [np.flatnonzero(r) for r in c]
-                yield pa.RecordBatch.from_arrays([K.column(part, "doc_id"), K.column(part, "y"), pa.array([a.astype(np.int32) for a in at], pa.list_(pa.int32())), pa.array([r[a] for r, a in zip(c, at)], pa.list_(pa.float32()))], ["doc_id", "y", "terms", "n"])
+                packed = [zlib.compress(r.tobytes(), 1) for r in term_counts(data, offsets)]  # most are 0
+                yield pa.RecordBatch.from_arrays([K.column(part, "doc_id"), K.column(part, "y"), K.binaries(packed)], ["doc_id", "y", "terms"])
 
-    found = rows.mapInArrow(run, "doc_id long, y int, terms array<int>, n array<float>").toArrow().sort_by("doc_id")
+    found = rows.mapInArrow(run, "doc_id long, y int, terms binary").toArrow()
+    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
     counts = np.zeros((found.num_rows, TERMS), np.float32)
-    for i, (t, v) in enumerate(zip(found["terms"], found["n"])):
-        counts[i, t.values.to_numpy(zero_copy_only=False)] = v.values.to_numpy(zero_copy_only=False)
-    return fit(counts, found["y"].to_numpy())
+    for row, i in enumerate(order.tolist()):
+        counts[row] = np.frombuffer(zlib.decompress(found["terms"][i].as_py()), np.float32)
+    y = found["y"].to_numpy()[order]
+    del found
+    return fit(counts, y, spend=True)
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", id: str = "doc_id") -> DataFrame:
